@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("threeway", "evaluation")
+GROUPS = ("threeway", "evaluation", "profiling", "ingest", "cleaning", "sampling")
 
 
 def load() -> None:

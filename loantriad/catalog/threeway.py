@@ -127,13 +127,13 @@ def twd3_fixed(spark, folder):
 @query(
     "twd4_expected_cost",
     DECIDED
-    + """select loan_id, round(case region when 'POS' then lam_pn * (1 - p_default) when 'NEG' then lam_np * p_default
-        else u * lam_np * p_default + v * lam_pn * (1 - p_default) end, 2) as cost from decided""",
+    + """select loan_purpose, region, round(sum(case region when 'POS' then lam_pn * (1 - p_default) when 'NEG' then lam_np * p_default
+        else u * lam_np * p_default + v * lam_pn * (1 - p_default) end), 2) as cost from decided group by 1, 2""",
     loans=True,
 )
 def twd4(spark, folder):
     cost = tw.expected_cost(F.col("region"), F.col("p_default"), F.col("lam_pn"), F.col("lam_np"), F.lit(U), F.lit(V))
-    return decided(spark, folder).select("loan_id", F.round(cost, 2).alias("cost"))
+    return decided(spark, folder).groupBy("loan_purpose", "region").agg(F.round(F.sum(cost), 2).alias("cost"))
 
 
 @query(

@@ -4,44 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+INT_RANGE = (-2147483648.0, 2147483647.0)
+BLANKS = "".join(chr(i) for i in range(33))  # everything up to the space, tabs and line breaks too
+
+
+def cut(cell: Column) -> Column:
+    return F.btrim(cell, F.lit(BLANKS))
+
 
 def blank_to_null(cell: Column) -> Column:
-    cut = F.trim(cell)
-    return F.when(cut != "", cut)
+    text = cut(cell)
+    return F.when(text != "", text)
 
 
 def parse_int(cell: Column, lenient: bool = False) -> Column:
     """Strict integer, or with ``lenient`` a decimal text truncated toward zero."""
-    cut = F.trim(cell)
-    strict = cut.try_cast("int")
+    text = cut(cell)
+    strict = text.try_cast("int")
     if not lenient:
         return strict
-    return F.coalesce(strict, cut.try_cast("double").try_cast("int"))
+    number = text.try_cast("double")
+    inside = F.when(F.isnan(number), 0.0).otherwise(F.greatest(F.lit(INT_RANGE[0]), F.least(F.lit(INT_RANGE[1]), number)))
+    return F.coalesce(strict, F.when(number.isNotNull(), inside).cast("int"))
 
 
 def parse_long(cell: Column) -> Column:
-    return F.trim(cell).try_cast("bigint")
+    return cut(cell).try_cast("bigint")
 
 
 def parse_decimal(cell: Column, precision: int = 38, scale: int = 2) -> Column:
-    return F.trim(cell).try_cast(f"decimal({precision},{scale})")
+    return cut(cell).try_cast(f"decimal({precision},{scale})")
 
 
 def parse_float(cell: Column) -> Column:
-    return F.trim(cell).try_cast("float")
+    return cut(cell).try_cast("float")
 
 
 def parse_month_year(cell: Column) -> Column:
     """``Dec-2015`` becomes the first day of that month."""
-    return F.try_to_timestamp(F.trim(cell), F.lit("MMM-yyyy")).cast("date")
+    return F.try_to_timestamp(cut(cell), F.lit("MMM-yyyy")).cast("date")
 
 
 def parse_date(cell: Column) -> Column:
-    return F.try_to_timestamp(F.trim(cell), F.lit("yyyy-MM-dd")).cast("date")
+    return F.try_to_timestamp(cut(cell), F.lit("yyyy-MM-dd")).cast("date")
 
 
 def parse_timestamp(cell: Column) -> Column:
-    return F.try_to_timestamp(F.trim(cell), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return F.try_to_timestamp(cut(cell), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
 def parse_char(cell: Column) -> Column:
@@ -49,8 +58,8 @@ def parse_char(cell: Column) -> Column:
 
 
 def parse_flag(cell: Column) -> Column:
-    return F.trim(cell).try_cast("boolean")
+    return cut(cell).try_cast("boolean")
 
 
 def clean_quotes(cell: Column) -> Column:
-    return F.trim(F.replace(cell, F.lit('"'), F.lit("")))
+    return cut(F.replace(cell, F.lit('"'), F.lit("")))
