@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("threeway", "evaluation", "profiling", "ingest", "cleaning", "sampling")
+GROUPS = ("threeway", "evaluation", "profiling", "ingest", "cleaning", "sampling", "modelling")
 
 
 def load() -> None:

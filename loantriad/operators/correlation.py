@@ -4,39 +4,64 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 
 def pair_list(columns: list[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def _pearson(a: str, b: str) -> Column:
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    return F.corr(F.when(both, x), F.when(both, y))
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(width: int, centre: np.ndarray):
+    """Function for mapInArrow: sums of one task for every pair i < j over rows where both are present."""
+    left, right = np.triu_indices(width, 1)
+
+    def run(batches):
+        totals, seen = np.zeros((len(SUMS), width, width)), False
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            seen = True
+            raw = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype("float64") for i in range(width)])
+            here = (~np.isnan(raw)).astype("float64")
+            x = np.where(here == 1, raw - centre, 0.0)
+            squares = x * x
+            totals += np.stack([here.T @ here, x.T @ here, here.T @ x, squares.T @ here, here.T @ squares, x.T @ x])
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int32()), pa.array(right, pa.int32())] + [pa.array(t[left, right], pa.float64()) for t in totals],
+                names=["i", "j", *SUMS],
+            )
+
+    return run
 
 
-def pearson_pairs(df: DataFrame, columns: list[str], chunk: int = 400) -> DataFrame:
-    """Correlation of every column pair over the rows where both are present.
+def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlation of every column pair over the rows where both are present; NULL for a constant column.
 
-    All pairs share one aggregate (``chunk`` per aggregate row to keep expressions small). NaN, from a
-    constant column, becomes NULL.
+    One scan whatever the number of columns: a task multiplies its own batches and emits one row of sums
+    per pair. Values are centred first, so the sums lose nothing.
     """
-    pairs = pair_list(columns)
-    blocks = []
-    for at in range(0, len(pairs), chunk):
-        part = pairs[at : at + chunk]
-        wide = df.agg(*[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        rows = F.array(
-            *[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("pearson"))
-              for i, (a, b) in enumerate(part)]
-        )
-        blocks.append(wide.select(F.inline(rows)))
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
-    return out
+    spark = df.sparkSession
+    x = {c: F.col(c).cast("double") for c in columns}
+    shape = df.agg(*[F.struct(F.avg(x[c]).alias("m"), (F.max(x[c]) - F.min(x[c])).alias("r")).alias(c) for c in columns]).first()
+    centre = np.array([shape[c].m or 0.0 for c in columns])
+    names = spark.createDataFrame(
+        [(i, j, a, b, float(shape[a].r or 0.0), float(shape[b].r or 0.0)) for (i, a), (j, b) in combinations(enumerate(columns), 2)],
+        "i int, j int, col1 string, col2 string, r1 double, r2 double",
+    )
+    schema = "i int, j int, " + ", ".join(f"{n} double" for n in SUMS)
+    sums = df.select(*x.values()).mapInArrow(_pair_sums(len(columns), centre), schema)
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUMS)
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    floor = 1e-18 * n * n  # relative to the range: below it a variance is rounding noise
+    steady = (n < 2) | (vx <= floor * F.col("r1") * F.col("r1")) | (vy <= floor * F.col("r2") * F.col("r2"))
+    r = F.when(~steady, (n * sxy - sx * sy) / F.sqrt(vx * vy))
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS]).join(names, ["i", "j"]).select("col1", "col2", r.alias("pearson"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:

@@ -53,9 +53,15 @@ def moments(df: DataFrame, columns: list[str], labels: dict[str, str] | None = N
     return out.withColumns({"skewness": g1, "kurtosis": g2}).drop("_g1", "_g2")
 
 
+def as_text(df: DataFrame, column: str) -> Column:
+    """Value as text, with one text for both zeros of a floating column."""
+    fraction = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return (F.col(column) + F.lit(0.0)).cast("string") if fraction else F.col(column).cast("string")
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact distinct non-NULL values per column, counted from (column, value) groups."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])
     cells = df.select(F.inline(pairs))
     seen = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return seen.groupBy("column").agg(F.count("value").alias("distinct"))

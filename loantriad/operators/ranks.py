@@ -126,54 +126,62 @@ def rank_in_strata(
     )
 
 
-def order_statistics(df: DataFrame, ranks: dict[str, list[int]], accuracy: int = 10_000) -> dict[str, dict[int, float]]:
+def _order_count(df: DataFrame, picks: list[dict]) -> None:
+    """Exact rows below and up to each bracket, written into ``picks``. One aggregate for all."""
+    row = df.agg(
+        *[F.count(F.when(p["x"] < p["lo"], 1)).alias(f"b{i}") for i, p in enumerate(picks)],
+        *[F.count(F.when(p["x"] <= p["hi"], 1)).alias(f"u{i}") for i, p in enumerate(picks)],
+    ).first()
+    for i, p in enumerate(picks):
+        p["below"], p["upto"] = row[f"b{i}"], row[f"u{i}"]
+
+
+def order_statistics(
+    df: DataFrame, ranks: dict[str, list[int]], accuracy: int = 10_000, most: int = 1_000_000
+) -> dict[str, dict[int, float]]:
     """Exact value at each 1-based rank of each numeric column (NULLs ignored).
 
-    Bounded driver work: a few numbers per wanted rank.
+    Brackets are narrowed by sketches of what is inside them until at most ``most`` rows or one value
+    are left, so the sorted rest stays small at any table size. Driver work: a few numbers per rank.
     """
-    wanted = [(c, r) for c, rs in ranks.items() for r in sorted(set(rs))]
-    if not wanted:
+    picks = [
+        {"column": c, "rank": r, "x": F.col(c).cast("double"), "lo": -math.inf, "hi": math.inf}
+        for c, rs in ranks.items() for r in sorted(set(rs))
+    ]
+    if not picks:
         return {}
-    columns = list(ranks)
-    values = {c: F.col(c).cast("double") for c in columns}
-    sizes = df.agg(*[F.count(values[c]).alias(c) for c in columns]).first()
+    _order_count(df, picks)
+    for p in picks:
+        if not 1 <= p["rank"] <= p["upto"]:
+            raise ValueError(f"rank {p['rank']} outside 1..{p['upto']} of {p['column']}")
     slack = 4.0 / accuracy
-
-    def bracket(column: str, rank: int) -> list[float]:
-        at = rank / max(sizes[column], 1)
-        return [max(0.0, at - slack), min(1.0, at + slack)]
-
-    probes = {c: [q for cc, r in wanted if cc == c for q in bracket(c, r)] for c in columns}
-    sketch = df.agg(*[F.percentile_approx(values[c], probes[c], accuracy).alias(c) for c in columns]).first()
-    bounds: list[tuple[str, int, float, float]] = []
-    for c in columns:
-        marks = iter(sketch[c] or [])
-        for r in sorted(set(ranks[c])):
-            if not 1 <= r <= sizes[c]:
-                raise ValueError(f"rank {r} outside 1..{sizes[c]} of {c}")
-            bounds.append((c, r, next(marks), next(marks)))
-
-    counted = df.agg(
-        *[F.count(F.when(values[c] < lo, 1)).alias(f"below{i}") for i, (c, _, lo, _) in enumerate(bounds)],
-        *[F.count(F.when(values[c] <= hi, 1)).alias(f"upto{i}") for i, (c, _, _, hi) in enumerate(bounds)],
-    ).first()
-    picks = []
-    for i, (c, r, lo, hi) in enumerate(bounds):
-        below, upto = counted[f"below{i}"], counted[f"upto{i}"]
-        if not below < r <= upto:  # the sketch missed: take the whole column
-            lo, hi, below = -math.inf, math.inf, 0
-        picks.append((i, c, r, lo, hi, below))
+    wide = [p for p in picks if p["upto"] - p["below"] > 2 * accuracy]
+    while wide:
+        probes = []
+        for p in wide:
+            at = (p["rank"] - p["below"]) / (p["upto"] - p["below"])
+            span = [max(0.0, at - slack), min(1.0, at + slack)]
+            probes.append(F.percentile_approx(F.when(p["x"].between(p["lo"], p["hi"]), p["x"]), span, accuracy))
+        sketch = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(probes)]).first()
+        old = [(p["lo"], p["hi"], p["below"], p["upto"]) for p in wide]
+        for i, p in enumerate(wide):
+            p["lo"], p["hi"] = sketch[f"q{i}"]
+        _order_count(df, wide)
+        again = []
+        for p, before in zip(wide, old):
+            if not p["below"] < p["rank"] <= p["upto"]:  # the sketch missed: keep the wider, exact bracket
+                p["lo"], p["hi"], p["below"], p["upto"] = before
+            elif p["upto"] - p["below"] > most and p["lo"] < p["hi"] and (p["lo"], p["hi"]) != before[:2]:
+                again.append(p)
+        wide = again
 
     inside = F.array(
-        *[
-            F.when(values[c].between(lo, hi), F.struct(F.lit(i).alias("i"), values[c].alias("x")))
-            for i, c, _, lo, hi, _ in picks
-        ]
+        *[F.when(p["x"].between(p["lo"], p["hi"]), F.struct(F.lit(i).alias("i"), p["x"].alias("x"))) for i, p in enumerate(picks)]
     )
     flat = df.select(F.explode(F.array_compact(inside)).alias("e")).select("e.i", "e.x")
     grouped = flat.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    want = F.create_map(*[F.lit(v) for i, _, r, _, _, below in picks for v in (i, r - below)])
+    want = F.create_map(*[F.lit(v) for i, p in enumerate(picks) for v in (i, p["rank"] - p["below"])])
     found = (
         grouped.withColumn("c", F.sum("n").over(upto))
         .withColumn("w", F.element_at(want, F.col("i")))
@@ -181,10 +189,9 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], accuracy: int =
         .select("i", "x")
         .collect()
     )
-    by_pick = {row.i: row.x for row in found}
-    out: dict[str, dict[int, float]] = {c: {} for c in columns}
-    for i, c, r, *_ in picks:
-        out[c][r] = by_pick[i]
+    out: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    for row in found:
+        out[picks[row.i]["column"]][picks[row.i]["rank"]] = row.x
     return out
 
 
