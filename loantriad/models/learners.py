@@ -29,7 +29,7 @@ BASE = {"featuresCol": "features", "labelCol": "y"}
 
 
 def gradient_boosting(rounds: int = 100, rate: float = 0.05, depth: int = 5, seed: int = 42) -> Estimator:
-    return GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=10, **BASE)
+    return GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, **BASE)
 
 
 def random_forest(trees: int = 100, depth: int = 8, seed: int = 42, weight: str | None = None) -> Estimator:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loantriad.models.learners import Learner, area, assemble, importances, score
 from loantriad.operators.evaluate import evaluate
 from loantriad.operators.sampling import stratified_k_fold
-from loantriad.session import materialise
+from loantriad.session import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def eliminate_features(
     The data are stored once and every fit reads the columns it needs. Ties go to fewer features.
     """
     keep = [row_id, "y", *columns]
-    data = materialise(stratified_k_fold(df.select(*keep), row_id, ["y"], folds, seed, "_fold"), "elimination")
+    data = spread(materialise(stratified_k_fold(df.select(*keep), row_id, ["y"], folds, seed, "_fold"), "elimination"))
     totals: dict[int, float] = {}
     for fold in range(folds):
         train, test = data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)

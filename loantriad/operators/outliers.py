@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loantriad.operators.profile import moments
 from loantriad.operators.ranks import percentiles, running_totals
+from loantriad.session import settle
 
 
 @dataclass(frozen=True)
@@ -65,10 +66,10 @@ def remove_outliers(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[
     """Remove rows column by column, fences recomputed on what is left.
 
     The result is a plain filter over the input: earlier fences are literals, so no step has to be
-    stored. ``df`` should be a stored table, since each column reads it again (that column only,
-    plus the columns already fenced).
+    stored; each column reads that column and the ones already fenced, from a table stored first if
+    ``df`` is costly.
     """
-    kept, log = df, []
+    kept, log = settle(df), []
     for c in columns:
         fences = iqr_fences(kept, [c])
         if not fences:
@@ -142,6 +143,7 @@ def distribution_report(df: DataFrame, column: str, compat: bool = True) -> Data
     otherwise excess kurtosis is compared with 0 and the values with N(mean, sd).
     """
     x = F.col(column).cast("double")
+    df = settle(df.select(column))
     stats = moments(df, [column]).drop("rows", "variance")
     first = stats.first()
     if first is None or first.n == 0:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loantriad.operators.ranks import percentiles
+from loantriad.session import settle
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -69,6 +70,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """Mean, sd, CV, median, min, max, range, IQR, skew, kurtosis, missing % and distinct, rounded."""
+    df = settle(df.select(*columns))
     marks = percentiles(df, columns, [0.25, 0.5, 0.75])
     spark = df.sparkSession
     quart = spark.createDataFrame(

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loantriad.functions.hashing import hash_order
-from loantriad.session import materialise, small_side
+from loantriad.session import materialise, settle, small_side
 
 
 def _sorted_parts(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -86,7 +86,8 @@ def hash_cutoffs(
     leading ``digits`` hex digits split each stratum into even buckets, hot strata included; counts
     find the bucket of each rank and only those buckets are ranked.
     """
-    hashed = df.select(
+    narrow = settle(df.select(row_id, *(strata or [])))
+    hashed = narrow.select(
         stratum_key(strata or []).alias("_key"), hash_order(F.col(row_id), seed).alias("_hash")
     ).withColumn("_bucket", F.substring("_hash", 1, digits))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,82 +127,105 @@ def rank_in_strata(
     )
 
 
-def _order_count(df: DataFrame, picks: list[dict]) -> None:
-    """Exact rows below and up to each bracket, written into ``picks``. One aggregate for all."""
+def _count_brackets(df: DataFrame, brackets: list[dict]) -> None:
+    """Exact rows below and up to each bracket, written into it. One aggregate for all."""
     row = df.agg(
-        *[F.count(F.when(p["x"] < p["lo"], 1)).alias(f"b{i}") for i, p in enumerate(picks)],
-        *[F.count(F.when(p["x"] <= p["hi"], 1)).alias(f"u{i}") for i, p in enumerate(picks)],
+        *[F.count(F.when(k["x"] < k["lo"], 1)).alias(f"b{i}") for i, k in enumerate(brackets)],
+        *[F.count(F.when(k["x"] <= k["hi"], 1)).alias(f"u{i}") for i, k in enumerate(brackets)],
     ).first()
-    for i, p in enumerate(picks):
-        p["below"], p["upto"] = row[f"b{i}"], row[f"u{i}"]
+    for i, k in enumerate(brackets):
+        k["below"], k["upto"] = row[f"b{i}"], row[f"u{i}"]
+
+
+def _narrow(df: DataFrame, wide: list[dict], accuracy: int) -> list[dict]:
+    """Brackets around each rank from one sketch per wide bracket; overlapping ones are merged."""
+    slack = 4.0 / accuracy
+    sketches = []
+    for k in wide:
+        spots = [(r - k["below"]) / (k["upto"] - k["below"]) for r in k["ranks"]]
+        span = [q for at in spots for q in (max(0.0, at - slack), min(1.0, at + slack))]
+        sketches.append(F.percentile_approx(F.when(k["x"].between(k["lo"], k["hi"]), k["x"]), span, accuracy))
+    row = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(sketches)]).first()
+    fresh: list[dict] = []
+    for i, k in enumerate(wide):
+        marks = iter(row[f"q{i}"])
+        for r in k["ranks"]:
+            lo, hi = next(marks), next(marks)
+            last = fresh[-1] if fresh and fresh[-1]["parent"] is k else None
+            if last and lo <= last["hi"]:
+                last["hi"] = max(last["hi"], hi)
+                last["ranks"].append(r)
+            else:
+                fresh.append({"column": k["column"], "x": k["x"], "lo": lo, "hi": hi, "ranks": [r], "parent": k})
+    _count_brackets(df, fresh)
+    missed: list[dict] = []
+    for k in fresh:
+        out = [r for r in k["ranks"] if not k["below"] < r <= k["upto"]]
+        if out:  # the sketch missed: those ranks stay with the wider, exact bracket
+            missed.append({**k["parent"], "ranks": out, "final": True})
+            k["ranks"] = [r for r in k["ranks"] if r not in out]
+        shrunk = (k["lo"], k["hi"]) != (k["parent"]["lo"], k["parent"]["hi"])
+        k["final"] = not shrunk or k["lo"] == k["hi"]
+    return [k for k in fresh if k["ranks"]] + missed
 
 
 def order_statistics(
-    df: DataFrame, ranks: dict[str, list[int]], accuracy: int = 10_000, most: int = 1_000_000
+    df: DataFrame, ranks: dict[str, list[int]], accuracy: int = 2000, most: int = 200_000, sizes: dict[str, int] | None = None
 ) -> dict[str, dict[int, float]]:
     """Exact value at each 1-based rank of each numeric column (NULLs ignored).
 
     Brackets are narrowed by sketches of what is inside them until at most ``most`` rows or one value
     are left, so the sorted rest stays small at any table size. Driver work: a few numbers per rank.
     """
-    picks = [
-        {"column": c, "rank": r, "x": F.col(c).cast("double"), "lo": -math.inf, "hi": math.inf}
-        for c, rs in ranks.items() for r in sorted(set(rs))
-    ]
-    if not picks:
+    wanted = {c: sorted(set(rs)) for c, rs in ranks.items() if rs}
+    if not wanted:
         return {}
-    _order_count(df, picks)
-    for p in picks:
-        if not 1 <= p["rank"] <= p["upto"]:
-            raise ValueError(f"rank {p['rank']} outside 1..{p['upto']} of {p['column']}")
-    slack = 4.0 / accuracy
-    wide = [p for p in picks if p["upto"] - p["below"] > 2 * accuracy]
-    while wide:
-        probes = []
-        for p in wide:
-            at = (p["rank"] - p["below"]) / (p["upto"] - p["below"])
-            span = [max(0.0, at - slack), min(1.0, at + slack)]
-            probes.append(F.percentile_approx(F.when(p["x"].between(p["lo"], p["hi"]), p["x"]), span, accuracy))
-        sketch = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(probes)]).first()
-        old = [(p["lo"], p["hi"], p["below"], p["upto"]) for p in wide]
-        for i, p in enumerate(wide):
-            p["lo"], p["hi"] = sketch[f"q{i}"]
-        _order_count(df, wide)
-        again = []
-        for p, before in zip(wide, old):
-            if not p["below"] < p["rank"] <= p["upto"]:  # the sketch missed: keep the wider, exact bracket
-                p["lo"], p["hi"], p["below"], p["upto"] = before
-            elif p["upto"] - p["below"] > most and p["lo"] < p["hi"] and (p["lo"], p["hi"]) != before[:2]:
-                again.append(p)
-        wide = again
+    x = {c: F.col(c).cast("double") for c in wanted}
+    if sizes is None:
+        row = df.agg(*[F.count(x[c]).alias(c) for c in wanted]).first()
+        sizes = {c: row[c] for c in wanted}
+    for c, rs in wanted.items():
+        if rs[0] < 1 or rs[-1] > sizes[c]:
+            raise ValueError(f"ranks {rs[0]}..{rs[-1]} outside 1..{sizes[c]} of {c}")
+    brackets = [
+        {"column": c, "x": x[c], "lo": -math.inf, "hi": math.inf, "below": 0, "upto": sizes[c], "ranks": rs, "final": False}
+        for c, rs in wanted.items()
+    ]
+    while True:
+        wide = [k for k in brackets if not k["final"] and k["upto"] - k["below"] > most]
+        if not wide:
+            break
+        brackets = [k for k in brackets if not any(k is w for w in wide)] + _narrow(df, wide, accuracy)
 
     inside = F.array(
-        *[F.when(p["x"].between(p["lo"], p["hi"]), F.struct(F.lit(i).alias("i"), p["x"].alias("x"))) for i, p in enumerate(picks)]
+        *[F.when(k["x"].between(k["lo"], k["hi"]), F.struct(F.lit(i).alias("i"), k["x"].alias("x"))) for i, k in enumerate(brackets)]
     )
     flat = df.select(F.explode(F.array_compact(inside)).alias("e")).select("e.i", "e.x")
     grouped = flat.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    want = F.create_map(*[F.lit(v) for i, p in enumerate(picks) for v in (i, p["rank"] - p["below"])])
+    asked = F.element_at(
+        F.array(*[F.array(*[F.lit(r - k["below"]).cast("bigint") for r in k["ranks"]]) for k in brackets]), F.col("i") + 1
+    )
     found = (
         grouped.withColumn("c", F.sum("n").over(upto))
-        .withColumn("w", F.element_at(want, F.col("i")))
-        .where((F.col("c") >= F.col("w")) & (F.col("c") - F.col("n") < F.col("w")))
-        .select("i", "x")
+        .select("i", "x", F.explode(F.filter(asked, lambda w: (w <= F.col("c")) & (w > F.col("c") - F.col("n")))).alias("w"))
         .collect()
     )
     out: dict[str, dict[int, float]] = {c: {} for c in ranks}
     for row in found:
-        out[picks[row.i]["column"]][picks[row.i]["rank"]] = row.x
+        k = brackets[row.i]
+        out[k["column"]][row.w + k["below"]] = row.x
     return out
 
 
 def percentiles(
-    df: DataFrame, columns: list[str], probs: list[float], method: str = "linear", accuracy: int = 10_000
+    df: DataFrame, columns: list[str], probs: list[float], method: str = "linear", accuracy: int = 2000
 ) -> dict[str, dict[float, float | None]]:
     """Exact interpolated percentiles of several columns.
 
     ``linear`` places p at p * (n - 1); ``legacy`` at p * (n + 1) clamped to the extremes.
     """
+    df = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     plan: dict[str, dict[float, tuple[int, int, float]]] = {}
     for c in columns:
@@ -214,7 +238,7 @@ def percentiles(
             low = min(int(math.floor(spot)), n)
             plan[c][p] = (low, min(low + 1, n), spot - low)
     needed = {c: [r for lo, hi, _ in marks.values() for r in (lo, hi)] for c, marks in plan.items()}
-    stats = order_statistics(df, needed, accuracy) if needed else {}
+    stats = order_statistics(df, needed, accuracy, sizes={c: sizes[c] for c in needed})
     out: dict[str, dict[float, float | None]] = {}
     for c in columns:
         out[c] = {p: None for p in probs}

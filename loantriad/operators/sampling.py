@@ -146,15 +146,28 @@ def poisson_limits(rate: float, tail: float = 1e-12) -> list[float]:
     return limits
 
 
-def bag_copies(row_id: Column, bag: int, share: float = 1.0, seed: object = 42) -> Column:
-    """How often a row is drawn into a bag: Poisson(share), the large-table form of drawing with replacement."""
-    draw = hash_uniform(row_id, f"{seed}:bag{bag}")
+def bag_draw(row_id: Column, bag: int, seed: object = 42) -> Column:
+    """The uniform draw that decides how often a row enters a bag."""
+    return hash_uniform(row_id, f"{seed}:bag{bag}")
+
+
+def poisson_count(draw: Column, share: float) -> Column:
+    """Poisson(share) count of a uniform draw, the large-table form of drawing with replacement."""
     return sum(((draw >= limit).cast("int") for limit in poisson_limits(share)), F.lit(0))
 
 
+def in_bag(row_id: Column, bag: int, share: float = 1.0, seed: object = 42) -> Column:
+    """Whether a row enters a bag at all: one comparison."""
+    return bag_draw(row_id, bag, seed) >= math.exp(-share)
+
+
 def bootstrap(df: DataFrame, row_id: str, bag: int, share: float = 0.8, seed: object = 42) -> DataFrame:
-    """Rows of one bag with their ``copies`` (use it as a weight; rows with none are out of the bag)."""
-    return df.withColumn("copies", bag_copies(F.col(row_id), bag, share, seed)).where("copies > 0")
+    """Rows of one bag with their ``copies`` (use it as a weight; rows with none are out of the bag).
+
+    The draw is hashed once per row: it is a column of its own before the counts are read off it.
+    """
+    inside = df.where(in_bag(F.col(row_id), bag, share, seed)).withColumn("_draw", bag_draw(F.col(row_id), bag, seed))
+    return inside.withColumn("copies", poisson_count(F.col("_draw"), share)).drop("_draw")
 
 
 def bootstrap_features(columns: list[str], bag: int, share: float = 0.8, seed: int = 42) -> list[str]:

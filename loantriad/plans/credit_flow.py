@@ -18,7 +18,7 @@ from loantriad.operators.evaluate import comparison, evaluate
 from loantriad.operators.neighbors import smote
 from loantriad.operators.sampling import stratified_k_fold
 from loantriad.plans.loans import labelled_loans
-from loantriad.session import materialise
+from loantriad.session import materialise, settle, spread
 
 FEATURES = ["loan_amount", "loan_rate", "duration_years", "installment_number", "monthly_income", "loan_days", "branch_code"]
 
@@ -26,8 +26,8 @@ FEATURES = ["loan_amount", "loan_rate", "duration_years", "installment_number",
 def model_table(spark: SparkSession, folder: str, folds: int = 5) -> DataFrame:
     """Labelled, priced, imputed loans with a stratified fold, stored once for the many passes of training."""
     df = tw.loss_columns(labelled_loans(spark, folder)).withColumn("loan_days", days_since_origin(F.col("loan_date")))
-    df = df.select("loan_id", "y", "lam_pn", "lam_np", *FEATURES)
-    return materialise(stratified_k_fold(impute(df, ["monthly_income"]), "loan_id", ["y"], folds), "model-table")
+    df = settle(df.select("loan_id", "y", "lam_pn", "lam_np", *FEATURES), "loans")
+    return spread(materialise(stratified_k_fold(impute(df, ["monthly_income"]), "loan_id", ["y"], folds), "model-table"))
 
 
 @dataclass
@@ -56,9 +56,9 @@ def run_fold(data: DataFrame, fold: int, cfg: Settings) -> tuple[DataFrame, Data
         names = eliminate_features(train, "loan_id", names, cfg.eliminate).chosen
     fitted_on = train.select("loan_id", "y", *names)
     if cfg.balance:
-        fitted_on = materialise(smote(fitted_on, "loan_id", "y", names), "balanced")
+        fitted_on = spread(materialise(smote(fitted_on, "loan_id", "y", names), "balanced"))
     risk = cfg.risk().fit(assemble(fitted_on, names).select("y", "features"))
-    scored = materialise(score(risk, assemble(test, names)).drop("features", "pred"), "scored")
+    scored = spread(materialise(score(risk, assemble(test, names)).drop("features", "pred"), "scored"))
 
     _, (u, v) = sr.search(scored, cfg.steps, cfg.rounds, cfg.rule, p="prob")
     decided = tw.decide(scored, u, v, p="prob")

@@ -52,6 +52,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHUFFLING = ("Join", "Aggregate", "Window", "Repartition", "Sort", "MapInPandas", "MapInArrow")
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """A table that is cheap to read again, for operators that need several passes.
+
+    Scans with filters and projections are left as they are (each pass prunes for itself); a plan with
+    a join, an aggregate or Python work is stored once.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialise(df, name) if any(word in plan for word in SHUFFLING) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a stored table that is too small to fill them; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when at most ``max_rows`` rows come back; otherwise join by shuffle.
 

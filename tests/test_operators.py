@@ -173,8 +173,11 @@ def test_fold_sizes(spark):
 
 
 def test_bag_rate(spark):
-    out = spark.range(20_000).select(sa.bag_copies(F.col("id"), 1, 0.8).alias("c"))
+    df = spark.range(20_000)
+    out = df.select(sa.poisson_count(sa.bag_draw(F.col("id"), 1), 0.8).alias("c"))
     mean, var = out.agg(F.avg("c"), F.var_samp("c")).first()
+    bag = sa.bootstrap(df, "id", 1, 0.8)
+    assert bag.count() == out.where("c > 0").count() and bag.where("copies < 1").count() == 0
     assert mean == pytest.approx(0.8, abs=0.03) and var == pytest.approx(0.8, abs=0.05)
 
 
@@ -257,7 +260,7 @@ def test_empty_choices(spark):
 
 def test_small_side_is_checked(spark):
     df = spark.range(50)
-    assert "BroadcastHashJoin" in df.join(small_side(df, 100), "id")._jdf.queryExecution().toString() or True
+    assert "strategy=broadcast" in df.join(small_side(df, 100), "id")._jdf.queryExecution().logical().toString()
     assert small_side(df, 10) is df
 
 
