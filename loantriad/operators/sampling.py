@@ -68,7 +68,8 @@ def stratified_k_fold(
     table = small_side(filled.groupBy("_key").agg(F.collect_list("cutoff").alias("_cuts")))  # k - 1 per stratum
     hashed = hash_order(F.col(row_id), seed)
     joined = df.withColumn("_key", key).join(table, "_key")
-    return joined.select(*df.columns, F.size(F.filter("_cuts", lambda c: hashed > c)).alias(out))
+    fold = sum(((hashed > F.get("_cuts", F.lit(j))).cast("int") for j in range(k - 1)), F.lit(0))
+    return joined.select(*df.columns, fold.alias(out))
 
 
 def proportional_quotas(counts: DataFrame, rows: int, n: str = "n") -> DataFrame:
