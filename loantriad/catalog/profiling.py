@@ -186,6 +186,21 @@ def agg9_probability(spark, folder):
     return shown(pr.histogram(labelled_loans(spark, folder), "p_default", 100))
 
 
+@query(
+    "agg9_histogram_around_removal",
+    f"""with a as (select e.value from events e, (select q1 - 1.5::double * (q3 - q1) as lower, q3 + 1.5::double * (q3 - q1) as upper from
+        (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events)) f where value >= lower and value <= upper)
+    select 'before' as stage, * from ({hist_sql('value', 20, 'events')}) union all select 'after', * from ({hist_sql('value', 20, 'a')})""",
+)
+def agg9_removal(spark, folder):
+    """Distribution before and after values outside the (linear) quartile fences are removed."""
+    df = table(spark, folder, "events").select("value")
+    fence = ou.iqr_fences(df, ["value"], method="linear")[0]
+    parts = {"before": df, "after": df.where(~ou.is_outlier(fence))}
+    shapes = [shown(pr.histogram(d, "value", 20)).withColumn("stage", F.lit(n)) for n, d in parts.items()]
+    return shapes[0].unionByName(shapes[1])
+
+
 PAIRS = co.pair_list(LOAN + ["branch_code"])
 
 
@@ -317,14 +332,18 @@ KS = """, v as (select (loan_amount - m) / s as x, 1 as l, 0 as r from loans, (s
     KS
     + """select 'loan_amount' as "column", count(*) as n, round(avg(loan_amount), 2) as mean, round(stddev_samp(loan_amount), 2) as sd,
       round(skewness(loan_amount), 4) as skewness, round(kurtosis(loan_amount), 4) as kurtosis, round((select d from d), 6) as ks_d,
-      'IQR' as method from loans""",
+      round((select least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (case when j % 2 = 1 then 1.0::double else -1.0::double end)
+        * exp(-2.0::double * j * j * q.d * q.d * q.n / 2.0::double)))))
+        from (select d, (select count(*) from loans) as n from d) q), 6) as ks_p,
+      false as is_normal, 'IQR' as method from loans""",
     loans=True,
 )
 def tst1(spark, folder):
     out = ou.distribution_report(loans(spark, folder), "loan_amount")
     return out.select(
         "column", "n", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"), F.round("skewness", 4).alias("skewness"),
-        F.round("kurtosis", 4).alias("kurtosis"), F.round("ks_d", 6).alias("ks_d"), "method",
+        F.round("kurtosis", 4).alias("kurtosis"), F.round("ks_d", 6).alias("ks_d"),
+        F.round("ks_p", 6).alias("ks_p"), "is_normal", "method",
     )
 
 

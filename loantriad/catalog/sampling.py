@@ -108,14 +108,26 @@ def vectors(spark, folder) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label")
 
 
-@query("smp6_smote")
+@query(
+    "smp6_smote",
+    """, c as (select y, count(*) as n, min(loan_amount) as low, max(loan_amount) as high from scored group by y)
+    select y, 0 as is_synthetic, n, true as inside from c
+    union all select y, 1, (select max(n) from c) - n, true from c where n < (select max(n) from c)""",
+    loans=True,
+)
 def smp6(spark, folder):
-    """Class sizes after balancing, with the range of one feature."""
-    df = labelled_loans(spark, folder).select("loan_id", "y", "loan_amount", "loan_rate", "installment_number")
-    out = ne.smote(df, "loan_id", "y", ["loan_amount", "loan_rate", "installment_number"], 5)
-    return out.groupBy("y", "is_synthetic").agg(
-        F.count(F.lit(1)).alias("n"), F.min("loan_amount").alias("low"), F.max("loan_amount").alias("high")
+    """Class sizes after balancing, and whether every new row lies within its class's range."""
+    names = ["loan_amount", "loan_rate", "installment_number"]
+    df = labelled_loans(spark, folder).select("loan_id", "y", *names)
+    out = ne.smote(df, "loan_id", "y", names, 5)
+    shape = out.groupBy("y", "is_synthetic").agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))]
     )
+    real = shape.where("is_synthetic = 0").select("y", *[F.col(f"{n}_{c}").alias(f"r{n}_{c}") for c in names for n in ("lo", "hi")])
+    inside = F.lit(True)
+    for c in names:
+        inside = inside & (F.col(f"lo_{c}") >= F.col(f"rlo_{c}")) & (F.col(f"hi_{c}") <= F.col(f"rhi_{c}"))
+    return shape.join(real, "y").select("y", "is_synthetic", "n", inside.alias("inside"))
 
 
 LIMITS = sa.poisson_limits(0.8)

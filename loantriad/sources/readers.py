@@ -28,12 +28,14 @@ def _cell(column: Column, kind: str, month_dates: bool, lenient: bool) -> Column
 
 
 def read_positional_csv(
-    spark: SparkSession, folder: str, columns: list[tuple[str, str]], month_dates: bool = False, lenient: bool = False
+    spark: SparkSession, folder: str, columns: list[tuple[str, str]], month_dates: bool = False, lenient: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Every ``*.csv`` directly in ``folder``. Cells go to columns by position; the header is skipped.
 
-    Short rows end in NULLs, extra cells are dropped, cells that do not parse are NULL. Files may hold
-    quoted line breaks, so one file is one task: keep files near the usual split size.
+    Short rows end in NULLs, extra cells are dropped, cells that do not parse are NULL. A file that may
+    hold quoted line breaks cannot be split, so it is one task; pass ``line_breaks=False`` for large files
+    known to have none.
     """
     raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
     cells = (
@@ -41,7 +43,7 @@ def read_positional_csv(
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
         .option("pathGlobFilter", "*.csv")
         .csv(folder)
@@ -51,14 +53,14 @@ def read_positional_csv(
     )
 
 
-def read_marketplace_csv(spark: SparkSession, folder: str) -> DataFrame:
+def read_marketplace_csv(spark: SparkSession, folder: str, line_breaks: bool = True) -> DataFrame:
     """151-column files: ``Dec-2015`` dates, integers may be written as decimals."""
-    return read_positional_csv(spark, folder, MARKETPLACE, month_dates=True, lenient=True)
+    return read_positional_csv(spark, folder, MARKETPLACE, month_dates=True, lenient=True, line_breaks=line_breaks)
 
 
-def read_bank_csv(spark: SparkSession, folder: str) -> DataFrame:
+def read_bank_csv(spark: SparkSession, folder: str, line_breaks: bool = True) -> DataFrame:
     """51-column files: ISO dates and times, strict integers."""
-    return read_positional_csv(spark, folder, BANK)
+    return read_positional_csv(spark, folder, BANK, line_breaks=line_breaks)
 
 
 def read_class_file(spark: SparkSession, path: str, classes: list[str], fields: int = 4) -> DataFrame:
