@@ -14,13 +14,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per loan; the line-item side is pre-aggregated on the join key."""
+    """One row per loan; the line-item side is pre-aggregated on the join key.
+
+    The rate is the mean tax in percent to two places, from whole percents: a mean of doubles depends on
+    the order of addition, and its rounding would change with the partitioning.
+    """
     o = table(spark, folder, "orders")
     c = table(spark, folder, "customer")
     per_order = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("loan_id"))
-        .agg(F.round(F.avg("l_tax") * 100, 2).alias("rate"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.round(F.sum(F.round(F.col("l_tax") * 100).cast("bigint")) / F.count("l_tax"), 2).alias("rate"),
+            F.count(F.lit(1)).alias("n"),
+        )
     )
     key = F.col("o_orderkey")
     status = (
@@ -68,7 +75,7 @@ select o.o_orderkey as loan_id, o.o_custkey as customer_id, c.c_nationkey as bra
             when o.o_orderstatus = 'O' then 'active' else 'doubtful' end as status,
        (o.o_custkey * 7919 + o.o_orderkey * 104729) % 1000 / cast(1000.0 as double) as p_default
 from orders o join customer c on o.o_custkey = c.c_custkey
-left join (select l_orderkey, round(avg(l_tax) * 100, 2) as rate, count(*) as n
+left join (select l_orderkey, round(sum(round(l_tax * 100)::bigint)::double / count(l_tax), 2) as rate, count(*) as n
            from lineitem group by l_orderkey) l on l.l_orderkey = o.o_orderkey),
 scored as (
 select *, case when status is null then 1 when trim(status) in ('settled', 'active') then 0 else 1 end as y,
