@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +31,24 @@ def build_session(app: str = "loantriad", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per session, so that Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loantriad_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loantriad-ship-"), "loantriad.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("loantriad", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._loantriad_shipped = True
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach. Only a local master may fall back to a temp folder."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
