@@ -138,11 +138,9 @@ class Vocabulary:
                         break
                     k -= 1
                     token = back_id[at]
+                    # several entries may end here, but only one may follow: the encoding is unique
                     if token >= 0 and (k == 0 or self.fits(last[k - 1], token)) and (end - k == 1 or token in self.split_of):
                         choice = token
-                        if k == 0:
-                            break
-                        # several tokens may end here, only one may follow: the encoding is unique
                         break
                 last.append(choice)
             ids, end = [], len(word)
@@ -205,12 +203,18 @@ _PRE = regex.compile(PATTERN)
 
 
 def trie_chunks(vocabulary: Vocabulary) -> Callable[[list[str]], list[bytes]]:
-    """Encodes chunks: pretokenise, then one trie over all their words."""
+    """Encodes chunks: pretokenise, then one trie over all their new words."""
+    packed: dict[str, bytes] = {}
 
     def encode(chunks: list[str]) -> list[bytes]:
-        pieces = [[p.encode("utf-8", "replace") for p in _PRE.findall(c)] for c in chunks]
-        ids = vocabulary.encode_words(p for ps in pieces for p in ps)
-        packed = {w: np.array(i, "<u4").tobytes() for w, i in ids.items()}
+        pieces = [_PRE.findall(c) for c in chunks]
+        new = {p for ps in pieces for p in ps if p not in packed}
+        if len(packed) + len(new) > CACHE_WORDS:
+            packed.clear()
+            new = {p for ps in pieces for p in ps}
+        words = {p: p.encode("utf-8", "replace") for p in new}
+        ids = vocabulary.encode_words(words.values())
+        packed.update({p: b"".join([x.to_bytes(4, "little") for x in ids[w]]) for p, w in words.items()})
         return [b"".join([packed[p] for p in ps]) for ps in pieces]
 
     return encode
