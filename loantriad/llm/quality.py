@@ -70,7 +70,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     ``trusted`` holds the doc_id of trusted documents; a document counts once however often its id is listed.
     """
     marks = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("good", F.lit(1))
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left")  # one plan at every size
     grams = marked.select("good", F.explode(ngrams(F.col("text"))).alias("g")).select(
         "good", F.explode(F.array(bucket(F.col("g.a"), buckets=buckets),
                                   F.when(F.col("g.b").isNotNull(), bucket(F.col("g.a"), F.col("g.b"), buckets=buckets)))).alias("bucket"))
