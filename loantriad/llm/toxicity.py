@@ -7,8 +7,8 @@ and five letters), each once a sentence. A word's weight is the sum over its fea
 per word.
 
 Only features with clear evidence (see ``telling``) get a weight. Training uses at most ``TRAIN_DOCS`` labelled documents (those with the smallest hash of their id), of which
-at most ``TRAIN_WORDS`` words are read each; executors turn them into arrays of hashes, and the fit, a few dozen
-Adagrad passes over those arrays, is one small numpy loop. Scoring reads every whole text.
+at most ``TRAIN_WORDS`` words are read each; executors turn them into arrays of hashes, choose the features with
+evidence and drop the rest, and the fit, a few dozen Adagrad passes over what remains, is one small numpy loop. Scoring reads every whole text.
 
 Defined results: null or empty text is one empty sentence (score of the bias); rows with a null doc_id or label are not
 learned from; a document labelled twice counts as toxic if any label says so; repeated rows get equal scores; without
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantriad.llm.common import CACHE_WORDS, table
 from loantriad.llm.registry import corpus_query
+from loantriad.session import materialise
 
 TRAIN_DOCS = 12_000
 TRAIN_WORDS = 4_000
@@ -84,10 +85,29 @@ def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         bags = [_bag(text or "") for text in frame["text"]]
         yield pd.DataFrame({
-            "doc_id": frame["doc_id"], "toxic": frame["toxic"],
-            "ids": [np.array(i, np.int32).tobytes() for i, _ in bags],
-            "sizes": [np.array(s, np.int32).tobytes() for _, s in bags],
-        })
+            "doc_id": frame["doc_id"], "toxic": frame["toxic"], "ids": [np.array(i, np.int32) for i, _ in bags],
+            "sizes": [np.array(s, np.int32) for _, s in bags]})
+
+
+def _only(used: np.ndarray):
+    """Leaves the features ``used`` in the bags."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.zeros(BUCKETS, bool)
+        wanted[used] = True
+        for frame in frames:
+            ids, sizes = [], []
+            for i, s in zip(frame["ids"], frame["sizes"]):
+                keep = wanted[np.asarray(i, np.int64)]
+                sentence = np.repeat(np.arange(len(s)), s)
+                ids.append(np.asarray(i, np.int32)[keep])
+                sizes.append(np.bincount(sentence[keep], minlength=len(s)).astype(np.int32))
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "ids": ids, "sizes": sizes})
+
+    return run
+
+
+BAGS = "doc_id long, toxic int, ids array<int>, sizes array<int>"
 
 
 def fold(doc_id):
@@ -114,42 +134,38 @@ def train_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, mos
     picked = marks.orderBy(*order).limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` ids
     rows = rows.dropDuplicates(["doc_id"])
-    bags = rows.mapInPandas(_bags, "doc_id long, toxic int, ids binary, sizes binary").toPandas()
-    return bags.sort_values("doc_id", ignore_index=True)
+    bags = materialise(rows.mapInPandas(_bags, BAGS), "bags")
+    used = np.array([r[0] for r in telling(bags).collect()], np.int64)  # at most BUCKETS numbers
+    return bags.mapInPandas(_only(used), BAGS).toPandas().sort_values("doc_id", ignore_index=True)
 
 
-def telling(ids: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+def telling(bags: DataFrame) -> DataFrame:
     """Features in at least MIN_TOXIC toxic documents whose G statistic against the label reaches MIN_EVIDENCE
     and that occur MIN_LIFT times as often as without a link to the label.
 
     Rare features are as many as the documents' own words; left in, they would explain any label.
     """
-    pairs = np.unique(doc.astype(np.int64) * BUCKETS + ids)
-    doc, ids = pairs // BUCKETS, pairs % BUCKETS
-    toxic = np.bincount(ids, y[doc], BUCKETS)
-    both = np.bincount(ids, minlength=BUCKETS).astype(float)
-    share = y.mean()
-    clean, expect_toxic, expect_clean = both - toxic, both * share, both * (1 - share)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(toxic > 0, toxic * np.log(toxic / expect_toxic), 0) + np.where(clean > 0, clean * np.log(clean / expect_clean), 0))
-    return np.flatnonzero((toxic >= MIN_TOXIC) & (toxic >= MIN_LIFT * expect_toxic) & (g >= MIN_EVIDENCE))
+    counts = bags.select("toxic", F.explode(F.array_distinct("ids")).alias("feature")).groupBy("feature").agg(
+        F.sum("toxic").cast("double").alias("toxic"), F.count("*").cast("double").alias("n"))
+    share = bags.agg(F.avg("toxic").alias("share")).scalar()
+    toxic, clean = F.col("toxic"), F.col("n") - F.col("toxic")
+    expected = F.col("n") * share
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    g = 2 * (part(toxic, expected) + part(clean, F.col("n") - expected))
+    return counts.where((toxic >= MIN_TOXIC) & (toxic >= MIN_LIFT * expected) & (g >= MIN_EVIDENCE)).select("feature").orderBy("feature")
 
 
 def fit(bags: pd.DataFrame, passes: int = PASSES) -> Model | None:
     """Noisy-or fit by Adagrad; None without both classes."""
     if bags.empty or bags["toxic"].nunique() < 2:
         return None
-    ids = np.concatenate([np.frombuffer(b, np.int32) for b in bags["ids"]])
-    sizes = [np.frombuffer(b, np.int32) for b in bags["sizes"]]
+    ids = np.concatenate([np.asarray(i, np.int64) for i in bags["ids"]])
+    sizes = [np.asarray(s, np.int64) for s in bags["sizes"]]
     sentence_of = np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes))
     doc_of = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
     n_sentences, n_docs = len(doc_of), len(sizes)
     y = bags["toxic"].to_numpy(float)
-    used = telling(ids, doc_of[sentence_of], y)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    kept = place[ids] >= 0
-    ids, sentence_of = place[ids][kept], sentence_of[kept]
+    used, ids = np.unique(ids, return_inverse=True)
     w, bias, seen, seen_bias = np.zeros(len(used)), BIAS, np.full(len(used), 1e-3), 1e-3
     for _ in range(passes):
         z = np.clip(bias + np.bincount(sentence_of, w[ids], n_sentences), -30, 30)
