@@ -14,8 +14,8 @@ lies ``SLACK`` below the threshold, are left; all others are decided on their wh
 of 0.8 a pair misses all bands with a probability of 7e-10, at 0.85 of 1.5e-13.
 
 Defined results: a text without words (null, empty, white space) is linked with nothing and is its own component; rows
-with the same words are linked whatever their ids; repeated rows get equal results; rows without doc_id are given back
-without component and kept; an empty table gives an empty table. Only doc_id and text are read.
+with the same words are linked whatever their ids; repeated rows get equal results; a doc_id on different texts gets each
+text's own component; a row without doc_id gets the component of equal texts, else none, and is kept; an empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -244,9 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = materialise(bands.join(materialise(shared, "shared-keys"), "key").select("key", "id"), "band-rows")
     wanted = rows.select("id").distinct().join(reps.select("id", "doc_id", "digest"), "id")
     texts = materialise(texts_of(docs, wanted), "texts")
-    same_id = reps.where("twin").groupBy("doc_id").agg(F.min("id").alias("a")).join(
-        reps.where("twin").select("doc_id", F.col("id").alias("b")), "doc_id").select("a", "b")
-    stars = materialise(star_links(reps, texts, rows, percent).unionByName(same_id), "star-links")
+    stars = materialise(star_links(reps, texts, rows, percent), "star-links")
     found = components(stars)
     more = materialise(block_links(reps, texts, rows, found, percent), "block-links")
     found = components(stars.unionByName(more))
