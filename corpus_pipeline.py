@@ -1,13 +1,75 @@
-"""Placeholder until every stage exists."""
+"""From raw documents to packed training sequences, one operator a stage.
 
-from pyspark.sql import DataFrame, SparkSession
+Quality rules, toxicity, near duplicates (five words, similarity 0.8; one document of each group stays), repeated
+passages, best-fit packing. Every stage works on all rows that its predecessor kept; all but the last return the columns
+of ``documents``. Rejections take effect by a join on doc_id, so columns with any names pass through. Rows of one
+doc_id are decided together: all go if one of them is rejected; a null doc_id is decided like any other id.
+Empty tables pass through as such.
+"""
 
+from __future__ import annotations
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
+
+from loantriad.llm import neardup, packing, passages, quality, toxicity  # noqa: E402
+from loantriad.llm.common import table  # noqa: E402
+from loantriad.session import materialise, ship_package  # noqa: E402
+
+#: Language-model scoring and trained labels have no equivalent in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
-STAGES: list = []
+
+NEAR_PERCENT = 80
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``rejected``."""
+    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    verdicts = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, verdicts.where("not kept"))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    verdicts = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, verdicts.where("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    verdicts = neardup.near_duplicates(docs, percent=NEAR_PERCENT)
+    return _without(docs, verdicts.where("not kept"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each result but the last is stored and read again."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
     return docs
