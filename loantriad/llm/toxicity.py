@@ -6,7 +6,8 @@ on the sentences that explain it; ``locate`` returns those. Features are the has
 and five letters), each once a sentence. A word's weight is the sum over its features, so scoring looks up one number
 per word.
 
-Only features with clear evidence (see ``telling``) get a weight. Training uses at most ``TRAIN_DOCS`` labelled documents (those with the smallest hash of their id), of which
+Only features with clear evidence (see ``telling``) get a weight. Training uses at most ``TRAIN_DOCS`` labelled documents (those with the smallest hash of their id; equal texts
+count once), of which
 at most ``TRAIN_WORDS`` words are read each; executors turn them into arrays of hashes, choose the features with
 evidence and drop the rest, and the fit, a few dozen Adagrad passes over what remains, is one small numpy loop. Scoring reads every whole text.
 
@@ -35,12 +36,12 @@ from loantriad.session import materialise
 TRAIN_DOCS = 12_000
 TRAIN_WORDS = 4_000
 BUCKETS = 1 << 18
-PASSES = 40
+PASSES = 150
 RATE = 1.0
 DECAY = 0.01
 BIAS = -9.0
 MIN_TOXIC = 3
-MIN_EVIDENCE = 10.0
+FALSE_FEATURES = 2.0
 MIN_LIFT = 3.0
 THRESHOLD = 0.3
 
@@ -50,7 +51,7 @@ WORD = re.compile(r"[^\W_]+")
 
 def features(word: str) -> set[int]:
     """Hashed word and its beginnings; markers keep the kinds apart."""
-    names = {f"w:{word}", f"4:{word[:4]}", f"5:{word[:5]}"} if len(word) >= 5 else {f"w:{word}"}
+    names = [f"w:{word}", *(f"{n}:{word[:n]}" for n in (4, 5) if len(word) >= n)]
     return {zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in names}
 
 
@@ -133,15 +134,15 @@ def train_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, mos
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = marks.orderBy(*order).limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` ids
-    rows = rows.dropDuplicates(["doc_id"])
+    rows = rows.dropDuplicates(["doc_id"]).withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "toxic"]).drop("same")
     bags = materialise(rows.mapInPandas(_bags, BAGS), "bags")
     used = np.array([r[0] for r in telling(bags).collect()], np.int64)  # at most BUCKETS numbers
     return bags.mapInPandas(_only(used), BAGS).toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def telling(bags: DataFrame) -> DataFrame:
-    """Features in at least MIN_TOXIC toxic documents whose G statistic against the label reaches MIN_EVIDENCE
-    and that occur MIN_LIFT times as often as without a link to the label.
+    """Features in at least MIN_TOXIC toxic documents that occur there MIN_LIFT times as often as without a link to the
+    label, and whose G statistic is so large that chance would bring about FALSE_FEATURES of them.
 
     Rare features are as many as the documents' own words; left in, they would explain any label.
     """
@@ -152,7 +153,9 @@ def telling(bags: DataFrame) -> DataFrame:
     expected = F.col("n") * share
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = 2 * (part(toxic, expected) + part(clean, F.col("n") - expected))
-    return counts.where((toxic >= MIN_TOXIC) & (toxic >= MIN_LIFT * expected) & (g >= MIN_EVIDENCE)).select("feature").orderBy("feature")
+    counts = materialise(counts.where(F.col("n") >= MIN_TOXIC), "feature-counts")
+    tried = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("m")).scalar()
+    return counts.where((toxic >= MIN_TOXIC) & (toxic >= MIN_LIFT * expected) & (F.exp(-g / 2) * tried <= FALSE_FEATURES)).select("feature").orderBy("feature")
 
 
 def fit(bags: pd.DataFrame, passes: int = PASSES) -> Model | None:
