@@ -29,7 +29,7 @@ from loantriad.session import materialise
 
 WIDTH = 35
 RUN = 10
-HOT = 5_000
+HOT = 1_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,7 +65,8 @@ def _minimisers(width: int, run: int):
                 row = (doc_id, mark, starts.astype(np.int32), np.diff(starts, append=n).astype(np.int32), minis.view(np.int64), again)
                 for column, value in zip(out.values(), row):
                     column.append(value)
-            yield pd.DataFrame(out).astype({"doc_id": "Int64", "mark": "int64"})
+            if out["doc_id"]:
+                yield pd.DataFrame(out).astype({"doc_id": "Int64", "mark": "int64"})
 
     return go
 
@@ -79,23 +80,30 @@ def _pack(width: int, hot: int):
                 for f in found:
                     start, size, mini = f["start"], f["size"], f["mini"]
                     if f["n"] <= hot:
-                        out.append((doc_id, mark, start, mini, b"", b" ".join(words[start:start + size + width - 1])))
+                        packed = b" ".join(words[start:start + size + width - 1])
+                        out.append((doc_id, mark, start, mini, b"", name(packed), packed))
                         continue
                     for at in range(start, start + size):
                         window = b" ".join(words[at:at + width])
-                        out.append((doc_id, mark, at, mini, hashlib.blake2b(window, digest_size=16).digest(), window))
+                        out.append((doc_id, mark, at, mini, name(window), name(window), window))
                 if len(out) >= 20_000:
                     yield _frame(out)
                     out = []
-            yield _frame(out)
+            if out:
+                yield _frame(out)
 
     def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "mark", "start", "mini", "sub", "packed"]).astype(
+        return pd.DataFrame(rows, columns=["doc_id", "mark", "start", "mini", "sub", "name", "packed"]).astype(
             {"doc_id": "Int64", "mark": "int64", "start": "int32", "mini": "int64"})
 
     return go
 
 
+def name(packed: bytes) -> bytes:
+    """128-bit name under which the places of a string find its result again."""
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def repeated_spans(strings: list[bytes], counts: list[int], width: int) -> list[list[tuple[int, int]]]:
     """For each packed string of a bucket, the spans of its words under windows that occur twice or more in the bucket."""
     windows = []
@@ -138,7 +146,7 @@ def _count_buckets(width: int):
             if len(strings) > 1 or counts and (counts[0] > 1 or strings[0].count(b" ") >= width):
                 for packed, spans in zip(strings, repeated_spans(strings, counts, width)):
                     if spans:
-                        out.append((*key, packed, [{"a": a, "b": b} for a, b in spans]))
+                        out.append((name(packed), [{"a": a, "b": b} for a, b in spans]))
 
         for frame in frames:
             for mini, sub, packed, n in zip(frame["mini"], frame["sub"], frame["packed"], frame["n"]):
@@ -148,11 +156,13 @@ def _count_buckets(width: int):
                     key, strings, counts = (mini, sub), [], []
                 strings.append(packed)
                 counts.append(n)
-            yield pd.DataFrame(out, columns=["mini", "sub", "packed", "spans"]).astype({"mini": "int64"})
-            out = []
+            if out:
+                yield pd.DataFrame(out, columns=["name", "spans"])
+            out.clear()
         if key is not None:
             close()
-        yield pd.DataFrame(out, columns=["mini", "sub", "packed", "spans"]).astype({"mini": "int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["name", "spans"])
 
     return go
 
@@ -173,12 +183,12 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int =
         F.collect_set(F.struct("start", "size", "mini", "n")).alias("found"))
     texts = marked.alias("d").join(found.alias("f"), same_row("d", "f")).select("d.*", "f.found")
     packed = materialise(
-        texts.mapInPandas(_pack(width, hot), "doc_id long, mark long, start int, mini long, sub binary, packed binary"), "packed")
+        texts.mapInPandas(_pack(width, hot), "doc_id long, mark long, start int, mini long, sub binary, name binary, packed binary"), "packed")
     strings = packed.groupBy("mini", "sub", "packed").agg(F.count("*").alias("n"))
     buckets = strings.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
     repeats = materialise(buckets.mapInPandas(
-        _count_buckets(width), "mini long, sub binary, packed binary, spans array<struct<a:int,b:int>>"), "repeats")
-    spans = packed.join(repeats, ["mini", "sub", "packed"]).select("doc_id", "mark", "start", F.explode("spans").alias("s"))
+        _count_buckets(width), "name binary, spans array<struct<a:int,b:int>>"), "repeats")
+    spans = packed.select("doc_id", "mark", "start", "name").join(repeats, "name").select("doc_id", "mark", "start", F.explode("spans").alias("s"))
     return spans.groupBy("doc_id", "mark").agg(F.collect_set(
         F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
 

@@ -37,6 +37,8 @@ LEAF = 128
 QUERY_BLOCK = 256
 QUERY_STEP = 20
 SCALE = 64
+#: Below every score: no candidate.
+NONE = -(1 << 62)
 
 
 class BallTree:
@@ -86,9 +88,9 @@ class BallTree:
         ``floor`` is a score that k other vectors reach already: lower ones aren't needed.
         """
         n, k = len(query_ids), self.k
-        best = np.full((n, k), -np.inf)
+        best = np.full((n, k), NONE, np.int64)
         who = np.full((n, k), -1, np.int64)
-        kth = floor.astype(float).copy()
+        kth = floor.copy()
         if not self.nodes or not n:
             return who, best
         q = queries.astype(np.float64)
@@ -117,16 +119,16 @@ class BallTree:
                     if near.any():
                         heapq.heappush(heap, (-float(upper[near].max()), child, rows[near], upper[near]))
                 continue
-            scores = (queries[rows].astype(np.int64) @ whole[begin:end].T).astype(float) if exact else q[rows] @ self.vectors[begin:end].T
+            scores = queries[rows].astype(np.int64) @ whole[begin:end].T if exact else (q[rows] @ self.vectors[begin:end].T).astype(np.int64)
             ids = self.ids[begin:end]
-            scores[query_ids[rows][:, None] == ids[None, :]] = -np.inf
+            scores[query_ids[rows][:, None] == ids[None, :]] = NONE
             merged = np.concatenate([best[rows], scores], axis=1)
             names = np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
             order = np.lexsort((names, -merged), axis=1)[:, :k]
             best[rows] = np.take_along_axis(merged, order, 1)
             who[rows] = np.take_along_axis(names, order, 1)
             kth[rows] = np.maximum(kth[rows], best[rows, -1])
-        who[np.isneginf(best)] = -1
+        who[best == NONE] = -1
         return who, best
 
 
@@ -134,9 +136,9 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def _rows(query_ids: np.ndarray, who: np.ndarray, best: np.ndarray, floor: np.ndarray) -> pd.DataFrame:
-    there = (who >= 0) & (best >= floor[:, None]) & ~np.isneginf(best)
+    there = (best >= floor[:, None]) & (best != NONE)
     return pd.DataFrame({
-        "query_id": np.repeat(query_ids, there.sum(axis=1)), "vec_id": who[there], "score": best[there].astype(np.int64)})
+        "query_id": np.repeat(query_ids, there.sum(axis=1)), "vec_id": who[there], "score": best[there]})
 
 
 def _home(k: int, leaf: int):
@@ -149,7 +151,7 @@ def _home(k: int, leaf: int):
         asked = np.flatnonzero(frame["asked"].to_numpy(bool))
         for at in range(0, len(asked), QUERY_BLOCK):
             some = asked[at:at + QUERY_BLOCK]
-            floor = np.full(len(some), -np.inf)
+            floor = np.full(len(some), NONE, np.int64)
             out.append(_rows(ids[some], *tree.search(ids[some], vectors[some], floor), floor))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
@@ -178,7 +180,7 @@ def _away(k: int, leaf: int):
                         np.empty(0, np.int64), np.empty((0, key.dims), np.int64), k, leaf)
                     parts = []
                 ids, q = visits["vec_id"].to_numpy(np.int64), np.stack(visits["v"].to_numpy())
-                floor = visits["floor"].to_numpy(float)
+                floor = visits["floor"].to_numpy(np.int64)
                 for at in range(0, len(ids), QUERY_BLOCK):
                     cut = slice(at, at + QUERY_BLOCK)
                     yield _rows(ids[cut], *tree.search(ids[cut], q[cut], floor[cut]), floor[cut])
@@ -211,8 +213,8 @@ def top_k(vectors: DataFrame, asked, k: int = K, shard_rows: int = SHARD_ROWS, l
         stored.where("asked").join(kth, F.col("vec_id") == F.col("query_id"), "left")
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("to") != F.col("shard"))
         .select("dims", F.col("to").cast("int").alias("shard"), F.lit(True).alias("visit"), "vec_id", "v",
-                F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")))
-    rows = stored.select("dims", "shard", F.lit(False).alias("visit"), "vec_id", "v", F.lit(0.0).alias("floor")).unionByName(visits)
+                F.coalesce("floor", F.lit(NONE)).alias("floor")))
+    rows = stored.select("dims", "shard", F.lit(False).alias("visit"), "vec_id", "v", F.lit(NONE).alias("floor")).unionByName(visits)
     away = rows.repartition(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "visit").mapInPandas(_away(k, leaf), FOUND)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
     return home.unionByName(away).select("query_id", F.row_number().over(by_score).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
