@@ -4,10 +4,12 @@
    made of ``ROWS`` minimum hashes each, and an odd sketch: all minimum hashes folded into a bitmap of parities. Texts
    with the same words are one class, represented by its least doc_id.
 2. Representatives meet in the buckets of their band keys. Each bucket compares its members with its least one (a star,
-   never all pairs); links found join components.
+   never all pairs); links found join components. Buckets that hold several components compare their members once more
+   with one that a hash chooses, another in every band.
 3. Buckets that still hold several components are compared in full, in blocks of ``BLOCK`` members, each pair of
-   blocks in one group; pairs of one component are skipped and a group hands on one link less than it has members, at
-   most, so large groups of copies stay small. The same set of members in several bands is compared once.
+   blocks together. The bucket's largest component is not compared with itself: its blocks meet the others' only, so
+   large groups of copies stay small. A pair of blocks hands on one link less than it has members, at most. The same
+   set of members in several bands is compared once.
 
 In both steps two texts whose sizes rule the similarity out, or whose odd sketches differ by so much that the similarity
 lies ``SLACK`` below the threshold, are left; all others are decided on their whole sets of shingles. At a similarity
@@ -146,9 +148,13 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         own, "id long, text string").dropDuplicates(["id"])
 
 
-def star_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of bucket members with the least member of their buckets. ``rows``: key, id in shared buckets."""
-    least = materialise(rows.groupBy("key").agg(F.min("id").alias("lead")), "leads")
+def star_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, percent: int, drawn: bool = False) -> DataFrame:
+    """Links (a, b) of bucket members with one of their bucket: the least, or the one that a hash draws.
+
+    ``rows``: key, id in shared buckets.
+    """
+    one = F.min_by("id", F.xxhash64("key", "id")) if drawn else F.min("id")
+    least = materialise(rows.groupBy("key").agg(one.alias("lead")), "leads")
     pairs = rows.join(least, "key").where("id <> lead").select("id", "lead").distinct()
     facts = reps.select("id", "n_shingles", "sketch")
     sized = (pairs.join(facts, "id")
@@ -179,53 +185,97 @@ def _worth_column(percent: int):
     return sizes & (apart <= most_different_bits(percent / 100))
 
 
-def block_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, found: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between members of a bucket that lie in different components of ``found`` (id, component)."""
-    labelled = rows.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    labelled = materialise(labelled, "labelled")
+def open_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """key, id, component of the buckets that hold several components; equal buckets once."""
+    labelled = materialise(rows.join(found, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component")), "labelled")
     # the same members in several bands are one bucket
     buckets = labelled.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("id").alias("first"),
         F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("sum2"))
-    buckets = buckets.where("low < high").groupBy("n", "first", "sum", "sum2").agg(F.min("key").alias("key")).select("key", "n")
-    members = labelled.join(materialise(buckets, "open-buckets"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = members.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    buckets = buckets.where("low < high").groupBy("n", "first", "sum", "sum2").agg(F.min("key").alias("key")).select("key")
+    return labelled.join(materialise(buckets, "open-buckets"), "key")
+
+
+def _dealt_blocks(members: DataFrame, block: int) -> DataFrame:
+    """key, id, component, own, i, j: a row for each pair of blocks (i, j) in which a member takes part.
+
+    Blocks from 0 on hold the bucket's largest component, those below 0 the rest.
+    """
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    sized = members.join(materialise(sizes, "bucket-sizes"), "key")
+    main = F.ceil(F.col("n_main") / block).cast("int")
+    rest = F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int")
+    inside = F.col("component") == F.col("main")
+    own = F.when(inside, F.pmod(F.xxhash64("id", F.lit(7)), main)).otherwise(-1 - F.pmod(F.xxhash64("id", F.lit(7)), rest)).cast("int")
+    others = F.sequence(-rest, F.when(inside, F.lit(-1)).otherwise(main - 1))
+    return sized.select("key", "id", "component", own.alias("own"), F.explode(others).alias("other")).select(
         "key", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(reps.select("id", "n_shingles", "sketch"), "id").join(texts, "id")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", ignore_index=True)
-        ids, component, own = frame["id"].to_numpy(), frame["component"].to_numpy(), frame["own"].to_numpy()
-        crossing = frame["i"].iloc[0] != frame["j"].iloc[0]
-        sizes, bits = frame["n_shingles"].to_numpy(), _bits(frame["sketch"])
-        sets: dict[int, set] = {}
-        root = {c: c for c in component.tolist()}
-        links = []
-
-        def top(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        for x in range(len(ids) - 1):
-            worth = _worth(sizes[x], sizes[x + 1:], bits[x], bits[x + 1:], percent) & (component[x + 1:] != component[x])
-            if crossing:  # pairs inside a block belong to the block's own group
-                worth &= own[x + 1:] != own[x]
-            for y in (np.flatnonzero(worth) + x + 1).tolist():
-                p, q = top(component[x]), top(component[y])
-                if p == q:
-                    continue
-                for z in (x, y):
-                    if z not in sets:
-                        sets[z] = shingle_set(frame["text"].iloc[z])
-                if linked(sets[x], sets[y], percent):
-                    root[q] = p
-                    links.append((ids[x], ids[y]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return full.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _compare(ids, component, own, crossing, sizes, bits, texts, percent: int, links: list) -> None:
+    """Links between the members of one pair of blocks, a spanning forest of them at most."""
+    sets: dict[int, set] = {}
+    root = {c: c for c in component.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for x in range(len(ids) - 1):
+        worth = _worth(sizes[x], sizes[x + 1:], bits[x], bits[x + 1:], percent) & (component[x + 1:] != component[x])
+        if crossing:  # pairs inside a block belong to the block's own turn
+            worth &= own[x + 1:] != own[x]
+        for y in (np.flatnonzero(worth) + x + 1).tolist():
+            p, q = top(component[x]), top(component[y])
+            if p == q:
+                continue
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = shingle_set(texts[z])
+            if linked(sets[x], sets[y], percent):
+                root[q] = p
+                links.append((ids[x], ids[y]))
+
+
+def _compare_sorted(percent: int):
+    """Rows come sorted by pair of blocks; the last pair of a batch may go on in the next."""
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            keys = rest[["key", "i", "j"]].to_numpy()
+            last = len(keys) - 1
+            while last > 0 and (keys[last] == keys[last - 1]).all():
+                last -= 1
+            if last:
+                yield from batch(rest.iloc[:last])
+                rest = rest.iloc[last:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield from batch(rest)
+
+    def batch(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        keys = frame[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])).tolist() + [len(keys)]
+        ids, component, own, sizes = (frame[c].to_numpy() for c in ("id", "component", "own", "n_shingles"))
+        bits, texts, links = _bits(frame["sketch"].tolist()), frame["text"].tolist(), []
+        for a, b in zip(starts, starts[1:]):
+            _compare(ids[a:b], component[a:b], own[a:b], keys[a][1] != keys[a][2], sizes[a:b], bits[a:b], texts[a:b], percent, links)
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return go
+
+
+def block_links(reps: DataFrame, texts: DataFrame, members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between members (key, id, component) of a bucket that lie in different components."""
+    full = _dealt_blocks(members, block).join(reps.select("id", "n_shingles", "sketch"), "id").join(texts, "id")
+    by = ["key", "i", "j"]
+    return full.repartition(*by).sortWithinPartitions(*by, "id").mapInPandas(_compare_sorted(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -244,10 +294,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = materialise(bands.join(materialise(shared, "shared-keys"), "key").select("key", "id"), "band-rows")
     wanted = rows.select("id").distinct().join(reps.select("id", "doc_id", "digest"), "id")
     texts = materialise(texts_of(docs, wanted), "texts")
-    stars = materialise(star_links(reps, texts, rows, percent), "star-links")
-    found = components(stars)
-    more = materialise(block_links(reps, texts, rows, found, percent), "block-links")
-    found = components(stars.unionByName(more))
+    links = materialise(star_links(reps, texts, rows, percent), "star-links")
+    found = components(links)
+    members = open_buckets(rows, found)
+    links = links.unionByName(materialise(star_links(reps, texts, members.select("key", "id"), percent, drawn=True), "more-links"))
+    found = components(links)
+    members = open_buckets(members.select("key", "id"), found)
+    links = links.unionByName(materialise(block_links(reps, texts, members, percent), "block-links"))
+    found = components(links)
     joined = reps.select("id", "doc_id", "digest").join(found, "id")
     least = materialise(joined.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     ids = reps.select("id", "doc_id", "digest").join(found, "id", "left").join(least, "component", "left").select(

@@ -234,7 +234,6 @@ def near_cases(seed):
 
 @pytest.mark.parametrize(("percent", "block"), [(80, 64), (85, 3)])
 def test_near_duplicates_brute_force(spark, monkeypatch, percent, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup.block_links, "__defaults__", (block,))
     docs = near_cases(percent)
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent)
