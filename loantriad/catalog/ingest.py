@@ -373,6 +373,18 @@ def fn6_words(spark, folder):
     return worded(spark, folder).select("o_orderkey", lb.label_from_good(F.col("word")).alias("y"))
 
 
+@query(
+    "fn6_label_whitespace",
+    WORDED + f"""select o_orderkey, case when word is null then 1 when regexp_replace(word, '^\\s+|\\s+$', '', 'g') in ({GOOD_CODES}) then 0 else 1 end as y
+    from (select o_orderkey, case o_orderkey % 3 when 0 then word || chr(9) when 1 then chr(10) || word || chr(13) else word end as word from w)""",
+)
+def fn6_whitespace(spark, folder):
+    """Tabs and line breaks around a status don't make it another one."""
+    around = F.when(F.col("o_orderkey") % 3 == 0, F.concat("word", F.lit("\t"))).when(
+        F.col("o_orderkey") % 3 == 1, F.concat(F.lit("\n"), "word", F.lit("\r"))).otherwise(F.col("word"))
+    return worded(spark, folder).select("o_orderkey", lb.label_from_good(around).alias("y"))
+
+
 @query(
     "fn7_label_default",
     WORDED + f"""select o_orderkey, coalesce(word in ({DEFAULT_CODES}), false)::int as y8, coalesce(word in ({SHORT_CODES}), false)::int as y3 from w""",

@@ -140,6 +140,21 @@ def agg7(spark, folder):
     return out.select("column", F.round("median", 6).alias("median"))
 
 
+@query(
+    "agg7_median_nan",
+    """select 'l_extendedprice' as "column", round(median(case when l_linenumber < 3 then null else l_extendedprice end), 6) as median from lineitem
+    union all select 'l_quantity', round(median(case when l_linenumber < 6 then null else l_quantity end), 6) from lineitem""",
+)
+def agg7_nan(spark, folder):
+    """Not-a-number is missing, also where most values are."""
+    items = table(spark, folder, "lineitem")
+    gone = {"l_extendedprice": 3, "l_quantity": 6}
+    items = items.select(*[F.when(F.col("l_linenumber") < n, F.lit(float("nan"))).otherwise(F.col(c).cast("double")).alias(c) for c, n in gone.items()])
+    marks = pr.percentiles(items, list(gone), [0.5])
+    out = spark.createDataFrame([(c, marks[c][0.5]) for c in gone], "column string, median double")
+    return out.select("column", F.round("median", 6).alias("median"))
+
+
 SEVEN = ["loan_amount", "loan_rate", "duration_years", "installment_number", "monthly_income", "p_default", "branch_code"]
 
 
@@ -279,6 +294,19 @@ def out1(spark, folder):
     )
 
 
+@query(
+    "out1_iqr_fences_nan",
+    f"""with holes as (select case when l_linenumber = 2 then null else l_extendedprice end as l_extendedprice from lineitem)
+    select 'l_extendedprice' as "column", round(q1, 4) as q1, round(q3, 4) as q3,
+      (select count(*) from holes where l_extendedprice < lower or l_extendedprice > upper) as removed,
+      (select round(avg(l_extendedprice), 4) from holes) as mean from {fence_sql('l_extendedprice', 'holes')}""",
+)
+def out1_nan(spark, folder):
+    x = F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_extendedprice").cast("double"))
+    out = ou.outlier_report(table(spark, folder, "lineitem").select(x.alias("l_extendedprice")), ["l_extendedprice"])
+    return out.select("column", *[F.round(c, 4).alias(c) for c in ("q1", "q3")], "removed", F.round("mean", 4).alias("mean"))
+
+
 @query(
     "out1_soft_delete",
     f"""select event_type, cast(value < lower or value > upper as int) as is_deleted, count(*) as n

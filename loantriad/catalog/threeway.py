@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loantriad.catalog.registry import query
 from loantriad.operators import search as sr
 from loantriad.operators import threeway as tw
+from loantriad.session import settle
 from loantriad.plans.loans import labelled_loans, loans
 
 U, V = 0.3, 0.4
@@ -191,7 +192,7 @@ def grid_sql(steps: int, cost: str = "realised", width: str = "all") -> str:
 
 
 def grid_scores(spark, folder, steps: int, **options) -> DataFrame:
-    scores = sr.objectives(priced(spark, folder), sr.grid(steps), **options)
+    scores = sr.objectives(priced(spark, folder), sr.grid(steps, 0.0), **options)
     return scores.withColumns({"f1": F.round("f1", 2), "f2": F.round("f2", 4)})
 
 
@@ -250,6 +251,71 @@ query(
 )(by_rule("accuracy"))
 
 
+@query(
+    "twd10_rule_boundary_strict",
+    grid_sql(20).replace("where i + j <= 20", "where i + j < 20") + FRONT
+    + "select u, v, f1, f2, bnd from edge order by bnd, f1, u, v limit 1",
+    loans=True,
+)
+def twd10_strict(spark, folder):
+    """The fewest boundary loans short of u + v = 1, where there would be none by construction."""
+    scores = sr.objectives(priced(spark, folder), sr.grid(20)).withColumns({"f1": F.round("f1", 2), "f2": F.round("f2", 4)})
+    return sr.choose(sr.front(scores), "boundary").select("u", "v", "f1", "f2", "bnd")
+
+
+def zoom_sql(steps: int) -> str:
+    """Grid of ``steps``, then the half steps around its front: brute force over the finer grid, marked by place."""
+    fine = 2 * steps
+    return grid_sql(fine).replace(f"where i + j <= {fine}", f"where i + j < {fine}") + f""", placed as (
+      select *, cast(round(u * {fine}) as int) as i, cast(round(v * {fine}) as int) as j from scores),
+    coarse as (select * from placed where i % 2 = 0 and j % 2 = 0),
+    first as (select * from coarse s where not exists (select 1 from coarse t
+      where t.f1 <= s.f1 and t.f2 <= s.f2 and (t.f1 < s.f1 or t.f2 < s.f2))),
+    tried as (select * from placed p where (i % 2 = 0 and j % 2 = 0)
+      or exists (select 1 from first f where abs(f.i - p.i) <= 1 and abs(f.j - p.j) <= 1))
+    select u, v, f1, f2 from tried s where not exists (select 1 from tried t
+      where t.f1 <= s.f1 and t.f2 <= s.f2 and (t.f1 < s.f1 or t.f2 < s.f2))"""
+
+
+@query("twd9_zoom", zoom_sql(10), loans=True)
+def twd9_zoom(spark, folder):
+    """Front after one zoom round around the front of a coarse grid."""
+    loans = settle(priced(spark, folder))
+    rounded = lambda c: sr.objectives(loans, c).withColumns({"f1": F.round("f1", 2), "f2": F.round("f2", 4)})
+    coarse = rounded(sr.grid(10))
+    rows = coarse.collect()  # one row a candidate
+    edge = sr.front(spark.createDataFrame(rows, coarse.schema)).select("u", "v").collect()
+    known = {(r.u, r.v) for r in rows}
+    finer = rounded([c for c in sr.zoom([(r.u, r.v) for r in edge], 0.1) if c not in known])
+    return sr.front(spark.createDataFrame(rows, coarse.schema).unionByName(finer)).select("u", "v", "f1", "f2")
+
+
+HOLES = {"p_default": "loan_id % 7 = 0", "lam_pn": "loan_id % 11 = 0", "lam_np": "loan_id % 13 = 0", "y": "loan_id % 5 = 0"}
+
+
+@query(
+    "twd7_objectives_nulls",
+    ", holes as (select loan_id, " + ", ".join(f"case when {w} then null else {c} end as {c}" for c, w in HOLES.items()) + """ from scored),
+    cand as (select i / 4::double as u, j / 4::double as v from range(5) a(i), range(5) b(j) where i + j < 4),
+    each as (select u, v, y, p_default as p, lam_pn, lam_np,
+       case when (lam_pn - v * lam_pn) + u * lam_np = 0 then 1.0 else (lam_pn - v * lam_pn) / ((lam_pn - v * lam_pn) + u * lam_np) end as alpha,
+       case when v * lam_pn + (lam_np - u * lam_np) = 0 then 0.0 else v * lam_pn / (v * lam_pn + (lam_np - u * lam_np)) end as beta from holes, cand),
+    placed as (select *, case when p >= alpha then 'POS' when p <= beta then 'NEG' else 'BND' end as region from each)
+    select u, v, count(*) as n, count(*) filter (where region = 'BND') as bnd, round(sum(alpha - beta), 4) as f2,
+      round(sum(case region when 'POS' then case when y = 0 then lam_pn end when 'NEG' then case when y = 1 then lam_np end
+        else case when y = 1 then u * lam_np else v * lam_pn end end), 2) as f1,
+      count(*) filter (where region = 'POS' and y = 1) as tp, count(*) filter (where region <> 'POS' and y = 0) as tn
+    from placed group by u, v""",
+    loans=True,
+)
+def twd7_nulls(spark, folder):
+    """Loans with a missing score, loss or label stay in every count, as in the decision."""
+    loans = priced(spark, folder)
+    loans = loans.withColumns({c: F.when(~F.expr(w), F.col(c)) for c, w in HOLES.items()})
+    return sr.objectives(loans, sr.grid(4)).select(
+        "u", "v", "n", "bnd", F.round("f2", 4).alias("f2"), F.round("f1", 2).alias("f1"), "tp", "tn")
+
+
 @query(
     "twd11_decision_counts",
     DECIDED
@@ -317,7 +383,7 @@ def sensitivity(df: DataFrame, settings: list[int]) -> DataFrame:
     """Cost and boundary size for coarser and finer grids; cost by the width rule, size by the boundary rule."""
     out = None
     for steps in settings:
-        scores = sr.objectives(df, sr.grid(steps)).withColumns({"f1": F.round("f1", 2), "f2": F.round("f2", 4)})
+        scores = sr.objectives(df, sr.grid(steps, 0.0)).withColumns({"f1": F.round("f1", 2), "f2": F.round("f2", 4)})
         edge = sr.front(scores)
         cost = sr.choose(edge, "width").select(F.lit(steps).alias("steps"), F.col("f1").alias("cost"))
         size = sr.choose(edge, "boundary").select(F.lit(steps).alias("steps"), "bnd")

@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
+from loantriad.functions.parsing import cut
+
 # Status words of the source tables. Arabic yeh and kaf, literal match;
 # one accepted value carries two spaces.
 GOOD_STATUSES = (
@@ -33,7 +35,7 @@ DEFAULT_STATUSES_SHORT = ("مشكوك الوصول", "معوق", "سررسيد 
 
 def label_from_good(status: Column, good: Iterable[str] = GOOD_STATUSES) -> Column:
     """0 for a trimmed status in ``good``; everything else, NULL included, is a default."""
-    return F.when(status.isNull(), 1).when(F.trim(status).isin(list(good)), 0).otherwise(1)
+    return F.when(status.isNull(), 1).when(cut(status).isin(list(good)), 0).otherwise(1)
 
 
 def label_from_default(status: Column, default: Iterable[str] = DEFAULT_STATUSES) -> Column:

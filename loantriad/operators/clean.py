@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loantriad.functions.dates import days_since_origin, epoch_seconds
 from loantriad.operators.encode import encode_labels
-from loantriad.operators.profile import numeric_columns
+from loantriad.operators.profile import number, numeric_columns
 from loantriad.operators.ranks import percentiles
 
 MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -18,7 +18,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def present_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in df.columns]).first()
+    row = nan_to_null(df).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in df.columns]).first()
     return row["_rows"], {c: row[c] for c in df.columns}
 
 
@@ -65,7 +65,7 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
 def means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     if not columns:
         return {}
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    row = df.agg(*[F.avg(number(c)).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns}
 
 
@@ -75,14 +75,14 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
-    """Replace NULL by the given value; a filled numeric column becomes double."""
+    """Replace NULL (and NaN) by the given value; a filled numeric column becomes double."""
     out = []
     for c in df.columns:
         value = values.get(c)
         if value is None:
             out.append(F.col(c))
         elif isinstance(value, float):
-            out.append(F.coalesce(F.col(c).cast("double"), F.lit(value)).alias(c))
+            out.append(F.coalesce(number(c), F.lit(value)).alias(c))
         else:
             out.append(F.coalesce(F.col(c), F.lit(value)).alias(c))
     return df.select(*out)

@@ -9,7 +9,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loantriad.operators.profile import moments
+from loantriad.operators.profile import moments, number
 from loantriad.operators.ranks import percentiles, running_totals
 from loantriad.session import settle
 
@@ -36,7 +36,7 @@ def iqr_fences(df: DataFrame, columns: list[str], factor: float = 1.5, method: s
 
 
 def is_outlier(fence: Fence) -> Column:
-    x = F.col(fence.column).cast("double")
+    x = number(fence.column)
     return (x < fence.lower) | (x > fence.upper)
 
 

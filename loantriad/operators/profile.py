@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from loantriad.functions.parsing import cut
 from loantriad.operators.ranks import percentiles
 from loantriad.session import settle
 
@@ -32,8 +33,13 @@ def per_column(df: DataFrame, columns: list[str], make, labels: dict[str, str] |
     return wide.select(F.explode(rows).alias("r")).select("r.column", "r.s.*")
 
 
+def number(c: str) -> Column:
+    """The column as a double; NaN is missing, as in the tables' own loaders."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def _moments(c: str) -> list[Column]:
-    x = F.col(c).cast("double")
+    x = number(c)
     return [
         F.count(F.lit(1)).alias("rows"),
         F.count(x).alias("n"),
@@ -57,7 +63,7 @@ def moments(df: DataFrame, columns: list[str], labels: dict[str, str] | None = N
 def as_text(df: DataFrame, column: str) -> Column:
     """Value as text, with one text for both zeros of a floating column."""
     fraction = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
-    return (F.col(column) + F.lit(0.0)).cast("string") if fraction else F.col(column).cast("string")
+    return (number(column) + F.lit(0.0)).cast("string") if fraction else F.col(column).cast("string")
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,7 +157,7 @@ def useless_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
     def make(c: str) -> list[Column]:
         x = F.col(c)
-        empty = (x == 0) if c in numbers else (F.trim(x.cast("string")) == "")
+        empty = (x == 0) if c in numbers else (cut(x.cast("string")) == "")
         return [F.count(F.lit(1)).alias("total_rows"), F.count_if(x.isNull() | empty).alias("useless_count")]
 
     pct = F.round(100.0 * F.col("useless_count") / F.col("total_rows"), 2)

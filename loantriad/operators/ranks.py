@@ -139,11 +139,11 @@ def _count_brackets(df: DataFrame, brackets: list[dict]) -> None:
 
 def _narrow(df: DataFrame, wide: list[dict], accuracy: int) -> list[dict]:
     """Brackets around each rank from one sketch per wide bracket; overlapping ones are merged."""
-    slack = 4.0 / accuracy
+    slack = [k.get("slack", 4.0 / accuracy) for k in wide]
     sketches = []
-    for k in wide:
+    for k, room in zip(wide, slack):
         spots = [(r - k["below"]) / (k["upto"] - k["below"]) for r in k["ranks"]]
-        span = [q for at in spots for q in (max(0.0, at - slack), min(1.0, at + slack))]
+        span = [q for at in spots for q in (max(0.0, at - room), min(1.0, at + room))]
         sketches.append(F.percentile_approx(F.when(k["x"].between(k["lo"], k["hi"]), k["x"]), span, accuracy))
     row = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(sketches)]).first()
     fresh: list[dict] = []
@@ -161,18 +161,20 @@ def _narrow(df: DataFrame, wide: list[dict], accuracy: int) -> list[dict]:
     missed: list[dict] = []
     for k in fresh:
         out = [r for r in k["ranks"] if not k["below"] < r <= k["upto"]]
-        if out:  # the sketch missed: those ranks stay with the wider, exact bracket
-            missed.append({**k["parent"], "ranks": out, "final": True})
+        if out:  # the sketch missed: those ranks try again from the wider bracket, with twice the room
+            missed.append({**k["parent"], "ranks": out, "slack": 2 * k["parent"].get("slack", 4.0 / accuracy)})
             k["ranks"] = [r for r in k["ranks"] if r not in out]
         shrunk = (k["lo"], k["hi"]) != (k["parent"]["lo"], k["parent"]["hi"])
-        k["final"] = not shrunk or k["lo"] == k["hi"]
+        k["final"] = k["lo"] == k["hi"]
+        if not shrunk and not k["final"]:  # the whole bracket again: a sharper sketch has to split it
+            k["slack"] = k["parent"].get("slack", 4.0 / accuracy) / 4
     return [k for k in fresh if k["ranks"]] + missed
 
 
 def order_statistics(
     df: DataFrame, ranks: dict[str, list[int]], accuracy: int = 2000, most: int = 200_000, sizes: dict[str, int] | None = None
 ) -> dict[str, dict[int, float]]:
-    """Exact value at each 1-based rank of each numeric column (NULLs ignored).
+    """Exact value at each 1-based rank of each numeric column (NULL and NaN ignored).
 
     Brackets are narrowed by sketches of what is inside them until at most ``most`` rows or one value
     are left, so the sorted rest stays small at any table size. Driver work: a few numbers per rank.
@@ -180,7 +182,7 @@ def order_statistics(
     wanted = {c: sorted(set(rs)) for c, rs in ranks.items() if rs}
     if not wanted:
         return {}
-    x = {c: F.col(c).cast("double") for c in wanted}
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in wanted}
     if sizes is None:
         row = df.agg(*[F.count(x[c]).alias(c) for c in wanted]).first()
         sizes = {c: row[c] for c in wanted}
@@ -225,7 +227,7 @@ def percentiles(
 
     ``linear`` places p at p * (n - 1); ``legacy`` at p * (n + 1) clamped to the extremes.
     """
-    df = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    df = settle(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]))
     sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     plan: dict[str, dict[float, tuple[int, int, float]]] = {}
     for c in columns:

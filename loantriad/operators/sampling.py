@@ -139,7 +139,7 @@ def systematic_marks(
 def poisson_limits(rate: float, tail: float = 1e-12) -> list[float]:
     """Cumulative Poisson probabilities until the tail is negligible."""
     limits, term, total, i = [], math.exp(-rate), 0.0, 0
-    while total < 1 - tail and i < 60:
+    while total < 1 - tail and (term > 0 or i < rate):
         total += term
         limits.append(total)
         i += 1

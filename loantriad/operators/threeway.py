@@ -62,7 +62,8 @@ def with_thresholds(df: DataFrame, u: Column | float, v: Column | float, lift: b
 
 
 def region(p: Column, alpha: Column, beta: Column) -> Column:
-    """POS wins when both comparisons hold."""
+    """POS wins when both comparisons hold; a missing score (NULL or NaN) or threshold leaves BND."""
+    p = F.nanvl(p.cast("double"), F.lit(None).cast("double"))
     return F.when(p >= alpha, "POS").when(p <= beta, "NEG").otherwise("BND")
 
 

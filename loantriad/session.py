@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "loantriad", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,7 +65,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stored(spark).append(path)
+    return path
+
+
+def _stored(spark: SparkSession) -> list[str]:
+    """Paths that this session has stored tables under."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_loantriad_stored"):
+        sc._loantriad_stored = []
+    return sc._loantriad_stored
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables stored by this session (from the ``since``-th on). Frames that read them are void then."""
+    paths = _stored(spark)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del paths[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside the block go at its end: write or collect results before."""
+    since = len(_stored(spark))
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -72,7 +105,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SHUFFLING = ("Join", "Aggregate", "Window", "Repartition", "Sort", "MapInPandas", "MapInArrow")
+#: Nodes of a logical plan whose work is not worth repeating.
+COSTLY = frozenset(
+    "Join AsOfJoin Aggregate Window Repartition RepartitionByExpression RebalancePartitions Sort Distinct Deduplicate Intersect "
+    "Except MapInPandas MapInArrow FlatMapGroupsInPandas FlatMapGroupsInArrow FlatMapCoGroupsInPandas ArrowEvalPython "
+    "BatchEvalPython".split())
+
+
+def _nodes(plan) -> Iterator[str]:
+    yield plan.nodeName()
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _nodes(below.apply(i))
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
@@ -81,8 +125,8 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     Scans with filters and projections are left as they are (each pass prunes for itself); a plan with
     a join, an aggregate or Python work is stored once.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return materialise(df, name) if any(word in plan for word in SHUFFLING) else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return materialise(df, name) if any(node in COSTLY for node in _nodes(plan)) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -91,12 +135,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when at most ``max_rows`` rows come back; otherwise join by shuffle.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows of ``max_bytes`` together; else join by shuffle.
 
-    At most ``max_rows + 1`` rows ever reach the driver.
+    Rows come to the driver one by one and no longer than both limits hold.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
+    rows, size = [], 0
+    for row in df.limit(max_rows + 1).toLocalIterator():
+        rows.append(row)
+        size += sum(len(v) if isinstance(v, (str, bytes, bytearray)) else 16 for v in row)
+        if len(rows) > max_rows or size > max_bytes:
+            return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

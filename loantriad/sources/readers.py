@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loantriad.functions.parsing import cut
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loantriad.functions import parsing as ps
@@ -70,9 +71,9 @@ def read_class_file(spark: SparkSession, path: str, classes: list[str], fields:
     """
     parts = F.split("value", ",")
     lines = spark.read.text(path).select(parts.alias("p")).where(F.size("p") == fields + 1)
-    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.trim(F.col("p")[fields])).cast("int")
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), cut(F.col("p")[fields])).cast("int")
     return lines.select(
-        *[F.trim(F.col("p")[i]).try_cast("double").alias(f"feature{i + 1}") for i in range(fields)],
+        *[cut(F.col("p")[i]).try_cast("double").alias(f"feature{i + 1}") for i in range(fields)],
         F.when(place > 0, place - 1).alias("class_index"),
     )
 

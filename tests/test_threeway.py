@@ -116,5 +116,14 @@ def test_unknown_arguments(three):
         tw.loss_columns(three, "other")
     with pytest.raises(ValueError):
         sr.choose(three, "other")
-    with pytest.raises(ValueError):
-        sr.objectives(three, [(0.0, 0.0)] * (sr.MAX_CANDIDATES + 1))
+
+
+def test_many_candidates_take_several_passes(three, monkeypatch):
+    whole = sr.objectives(three, sr.grid(6)).orderBy("u", "v").collect()
+    monkeypatch.setattr(sr, "PASS_CANDIDATES", 5)
+    assert sr.objectives(three, sr.grid(6)).orderBy("u", "v").collect() == whole
+
+
+def test_strict_triangle():
+    assert all(u + v < 1 for u, v in sr.grid(20)) and len(sr.grid(20)) == 210 and len(sr.grid(20, 0.0)) == 231
+    assert all(u + v < 1 for u, v in sr.zoom(sr.grid(4), 0.25))
