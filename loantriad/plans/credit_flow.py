@@ -8,8 +8,8 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantriad.functions.dates import days_since_origin
-from loantriad.models.ensembles import BaggingClassifier
-from loantriad.models.learners import Learner, area, assemble, decision_tree, gradient_boosting, importances, score
+from loantriad.models.ensembles import BaggingClassifier, StackingClassifier
+from loantriad.models.learners import Learner, area, assemble, decision_tree, gradient_boosting, importances, logistic, score
 from loantriad.models.selection import eliminate_features, train_and_evaluate
 from loantriad.operators import search as sr
 from loantriad.operators import threeway as tw
@@ -37,7 +37,11 @@ class Settings:
     boundary_tree: Learner = lambda: decision_tree(weight="copies")
     boundary_bags: int = 10
     balance: bool = True
+    resolver: str = "bagging"  # or "stacking"
+    stacked: dict[str, Learner] = field(default_factory=lambda: {"tree": lambda: decision_tree(depth=5), "logistic": lambda: logistic(100)})
     eliminate: Learner | None = None
+    protected: tuple[str, ...] = ()
+    eps: float = sr.STRICT
     steps: int = 20
     rounds: int = 1
     rule: str = "boundary"
@@ -48,26 +52,35 @@ def fold_rows(data: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
 
 
+def resolver(cfg: Settings, names: list[str]) -> Estimator:
+    """Second-stage model for the boundary."""
+    if cfg.resolver == "bagging":
+        return BaggingClassifier(cfg.boundary_tree, names, "loan_id", cfg.boundary_bags)
+    if cfg.resolver == "stacking":
+        return StackingClassifier(cfg.stacked, names, "loan_id", folds=cfg.folds)
+    raise ValueError("resolver must be bagging or stacking")
+
+
 def run_fold(data: DataFrame, fold: int, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     """(metrics row, feature importances) of one fold. Losses always come from the loan's own row."""
     train, test = fold_rows(data, fold)
     names = cfg.features
     if cfg.eliminate is not None:
-        names = eliminate_features(train, "loan_id", names, cfg.eliminate).chosen
+        names = eliminate_features(train, "loan_id", names, cfg.eliminate, cfg.folds, protected=cfg.protected).chosen
     fitted_on = train.select("loan_id", "y", *names)
     if cfg.balance:
         fitted_on = spread(materialise(smote(fitted_on, "loan_id", "y", names), "balanced"))
     risk = cfg.risk().fit(assemble(fitted_on, names).select("y", "features"))
     scored = spread(materialise(score(risk, assemble(test, names)).drop("features", "pred"), "scored"))
 
-    _, (u, v) = sr.search(scored, cfg.steps, cfg.rounds, cfg.rule, p="prob")
+    _, (u, v) = sr.search(scored, cfg.steps, cfg.rounds, cfg.rule, cfg.eps, p="prob")
     decided = tw.decide(scored, u, v, p="prob")
-    bagging = BaggingClassifier(cfg.boundary_tree, names, "loan_id", cfg.boundary_bags)
-    second = bagging.fit(train).transform(decided.where(F.col("region") == "BND").drop("prob")).select("loan_id", "pred")
-    final = tw.resolve_boundary(decided, second)
+    unsure = decided.where(F.col("region") == "BND").drop("prob")
+    second = resolver(cfg, names).fit(train).transform(unsure).select("loan_id", "pred")
 
     before = tw.realised_cost(F.col("region"), F.col("y"), F.col("lam_pn"), F.col("lam_np"), F.lit(u), F.lit(v))
-    final = final.withColumns({"before": before, "pred": F.col("final_pred")})
+    final = tw.resolve_boundary(decided, second).withColumns({"before": before, "pred": F.col("final_pred")})
+    final = materialise(final.select("y", "region", "before", "pred", "lam_pn", "lam_np"), "decided")
     after = tw.binary_cost(F.col("pred"), F.col("y"), F.col("lam_pn"), F.col("lam_np"))
     sums = final.agg(F.sum("before").alias("cost_before"), F.count_if(F.col("region") == "BND").alias("bnd")).first()
     row = evaluate(final, cost=after).withColumns(

@@ -79,13 +79,14 @@ def test_elimination(data):
 def test_flow(spark, folder):
     cfg = cf.Settings(
         risk=lambda: le.gradient_boosting(3, 0.1, 3), boundary_tree=lambda: le.decision_tree(2, 4, weight="copies"),
-        boundary_bags=2, folds=2, steps=8, rounds=1,
+        boundary_bags=2, folds=2, steps=8, rounds=1, rule="width",
     )
     data = cf.model_table(spark, folder, 2)
     rows, weights = cf.cross_validated(data, cfg)
     got = rows.collect()
     assert sum(r.tp + r.tn + r.fp + r.fn for r in got) == data.count()
-    assert all(0 <= r.bacc <= 1 and r.cost >= 0 and r.u + r.v <= 1 for r in got)
+    assert all(0 <= r.bacc <= 1 and r.cost >= 0 and r.u + r.v < 1 for r in got)
+    assert all(r.bnd > 0 and r.cost != r.cost_before for r in got)  # the second stage has loans to decide
     assert weights.count() == 2 * len(cfg.features)
     single = cf.baselines(data, {"Logistic": lambda: le.logistic(10)}, cfg)
     table = {r.model: r for r in cf.compare(single, rows).collect()}

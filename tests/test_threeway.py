@@ -127,3 +127,22 @@ def test_many_candidates_take_several_passes(three, monkeypatch):
 def test_strict_triangle():
     assert all(u + v < 1 for u, v in sr.grid(20)) and len(sr.grid(20)) == 210 and len(sr.grid(20, 0.0)) == 231
     assert all(u + v < 1 for u, v in sr.zoom(sr.grid(4), 0.25))
+
+
+def test_sensitivity_table(three):
+    rows = sr.sensitivity(three, [2, 4], rounds=1).collect()
+    assert [r.steps for r in rows] == [2, 4] and all(r.seconds > 0 for r in rows)
+    assert rows[1].cost is not None and all(r.bnd >= 0 for r in rows)
+
+
+def test_strict_search_leaves_a_boundary(three):
+    _, (u, v) = sr.search(three, 4, 1, "boundary")
+    assert u + v < 1
+
+
+def test_missing_values_as_in_the_decision(spark):
+    rows = [(1, 0.9, 10.0, 50.0, 1), (2, None, 10.0, 50.0, 0), (3, float("nan"), 10.0, 50.0, 1), (4, 0.1, None, 50.0, 0), (5, 0.1, 10.0, 50.0, None)]
+    df = spark.createDataFrame(rows, "loan_id long, p_default double, lam_pn double, lam_np double, y int")
+    got = sr.objectives(df, [(0.3, 0.4)]).first()
+    placed = tw.decide(df, 0.3, 0.4).groupBy("region").count().collect()
+    assert got.n == 5 and got.bnd == {r.region: r["count"] for r in placed}["BND"] == 3
