@@ -55,18 +55,22 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed_documents(docs)
 
 
+def _stage(fn):
+    """``fn`` with the package on the executors."""
+    return lambda spark, docs, sf_dir: fn(ship_package(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxic_documents),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("best_fit_packing", best_fit_packing),
+    ("quality_rules", _stage(quality_rules)),
+    ("toxicity", _stage(toxic_documents)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("repeated_passages", _stage(repeated_passages)),
+    ("best_fit_packing", _stage(best_fit_packing)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is stored and read again."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
