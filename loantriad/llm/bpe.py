@@ -158,22 +158,23 @@ class ChunkEncoder:
 
     def __init__(self, special: dict[str, int], encode_chunks: Callable[[list[str]], list[bytes]]):
         self.encode_chunks = encode_chunks
-        self.special = special
-        self.known: dict[str, bytes] = {}
+        self.ids_of_special = {name: int(i).to_bytes(4, "little") for name, i in special.items()}
+        self.known: dict[str, bytes] = dict(self.ids_of_special)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def batch(self, texts: Iterable[str | None]) -> list[bytes]:
+        get = self.known.get
         parts = [self._chunks(text or "") for text in texts]
-        new = list({c for chunks in parts for c in chunks if c not in self.known and c not in self.special})
+        found = [list(map(get, chunks)) for chunks in parts]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        new = list({c for k in gaps for c, ids in zip(parts[k], found[k]) if ids is None})
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({c for chunks in parts for c in chunks if c not in self.special})
-        ids = dict(zip(new, self.encode_chunks(new)))
-        known = self.known
-        known.update(ids)
-        for name, i in self.special.items():
-            known[name] = int(i).to_bytes(4, "little")
-        return [b"".join([known[c] for c in chunks]) for chunks in parts]
+            self.known = dict(self.ids_of_special)
+        fresh = dict(zip(new, self.encode_chunks(new)))
+        self.known.update(fresh)
+        for k in gaps:
+            found[k] = [fresh[c] if ids is None else ids for c, ids in zip(parts[k], found[k])]
+        return [b"".join(ids) for ids in found]
 
     def _chunks(self, text: str) -> list[str]:
         if self.at_special is None:

@@ -16,7 +16,9 @@ and text are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loantriad.llm.bpe import ChunkEncoder, file_text
-from loantriad.llm.common import table, vocabulary_path
+from loantriad.llm.common import CACHE_WORDS, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
 from loantriad.session import scratch_path
 
@@ -37,12 +39,34 @@ BATCH_ROWS = 256
 _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
+#: One of these after a word of letters is a token by itself.
+SIGNS = ".,;:!?"
+#: Beyond these letters, libraries may differ in what they call one.
+_FAR = re.compile("[^\x00-\u024f]")
+
+
+def _is_word(c: str) -> bool:
+    return len(c) > 1 and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) and not _FAR.search(c)
+
+
 def library_chunks(tokenizer) -> Callable[[list[str]], list[bytes]]:
-    """Encodes chunks through the tokenizers library."""
+    """Encodes chunks through the tokenizers library; words are remembered, with or without a sign after them."""
+    pack = lambda e: array("I", e.ids).tobytes()
+    signs = {s: pack(tokenizer.encode(s, add_special_tokens=False)) for s in SIGNS}
+    words: dict[str, bytes] = {}  # half of the cache; when it is full it becomes the older half
+    older: dict[str, bytes] = {}
 
     def encode(chunks: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        nonlocal words, older
+        heads = [c[:-1] if c[-1] in signs and _is_word(c[:-1]) else c for c in chunks]
+        new = {h for h in heads if h not in words}
+        if len(words) + len(new) > CACHE_WORDS // 2:
+            words, older = {}, words
+            new = set(heads)
+        words.update({h: older[h] for h in new if h in older})
+        new = [h for h in new if h not in words]
+        words.update(zip(new, map(pack, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return [words[h] if len(h) == len(c) else words[h] + signs[c[-1]] for c, h in zip(chunks, heads)]
 
     return encode
 
