@@ -20,6 +20,9 @@ from loantriad.functions.hashing import hash_order
 from loantriad.session import materialise, settle, small_side
 
 
+BUCKET_ROWS = 10_000
+
+
 def _sorted_parts(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Sort globally and store; ``_part`` is the sort partition, ``_pos`` the place inside it.
 
@@ -78,7 +81,7 @@ def hash_cutoffs(
     targets: DataFrame,
     strata: list[str] | None = None,
     seed: object = 42,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Hash of the row at each wanted rank: rows ``(_key, target, cutoff)``.
 
