@@ -358,12 +358,14 @@ KS = """, v as (select (loan_amount - m) / s as x, 1 as l, 0 as r from loans, (s
 @query(
     "tst1_distribution",
     KS
-    + """select 'loan_amount' as "column", count(*) as n, round(avg(loan_amount), 2) as mean, round(stddev_samp(loan_amount), 2) as sd,
+    + """select *, case when is_normal then 'Z-Score' else 'IQR' end as method from (
+      select *, abs(skewness) < 1 and abs(kurtosis - 3) < 1 and ks_p > 0.05 as is_normal from (
+      select 'loan_amount' as "column", count(*) as n, round(avg(loan_amount), 2) as mean, round(stddev_samp(loan_amount), 2) as sd,
       round(skewness(loan_amount), 4) as skewness, round(kurtosis(loan_amount), 4) as kurtosis, round((select d from d), 6) as ks_d,
       round((select least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (case when j % 2 = 1 then 1.0::double else -1.0::double end)
         * exp(-2.0::double * j * j * q.d * q.d * q.n / 2.0::double)))))
-        from (select d, (select count(*) from loans) as n from d) q), 6) as ks_p,
-      false as is_normal, 'IQR' as method from loans""",
+        from (select d, (select count(*) from loans) as n from d) q), 6) as ks_p
+      from loans))""",
     loans=True,
 )
 def tst1(spark, folder):
@@ -387,6 +389,21 @@ def pca1(spark, folder):
     return ou.explained_variance(df, LOAN, 3)
 
 
+@query(
+    "pca1_two_columns",
+    """, s as (select var_samp(loan_amount) as a, var_samp(monthly_income) as b, covar_samp(loan_amount, monthly_income) as c
+      from loans where monthly_income is not null),
+    e as (select a + b as total, sqrt(((a - b) / 2) * ((a - b) / 2) + c * c) as gap from s)
+    select 1 as component, round((total / 2 + gap) / total, 6) as ratio, round((total / 2 + gap) / total, 6) as cumulative from e
+    union all select 2, round((total / 2 - gap) / total, 6), 1.0::double from e""",
+    loans=True,
+)
+def pca1_two(spark, folder):
+    """Two columns have a closed form; loans without an income have no place in the plane and are left out."""
+    out = ou.explained_variance(loans(spark, folder), ["loan_amount", "monthly_income"], 2)
+    return out.select("component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
+
+
 @query("pca1_projection")
 def pca1_projection(spark, folder):
     df = loans(spark, folder).na.fill(0.0, ["monthly_income"])

@@ -163,7 +163,10 @@ def distribution_report(df: DataFrame, column: str, compat: bool = True) -> Data
 
 
 def fit_components(df: DataFrame, columns: list[str], k: int):
-    """Principal components of centred columns. Returns (model, centred table with vector ``features``)."""
+    """Principal components of centred columns. Returns (model, centred table with vector ``features``).
+
+    A row with a missing value has no place in the space and is left out; fill it before to keep it.
+    """
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centred = df.select("*", *[(F.col(c) - F.lit(means[c])).alias(f"_c_{c}") for c in columns])
     vectors = VectorAssembler(inputCols=[f"_c_{c}" for c in columns], outputCol="features").transform(

@@ -87,8 +87,12 @@ def hash_cutoffs(
 
     ``targets`` has ``_key`` (see ``stratum_key``), ``target`` (any label) and ``rank`` (1-based). The
     leading ``digits`` hex digits split each stratum into even buckets, hot strata included; counts
-    find the bucket of each rank and only those buckets are ranked.
+    find the bucket of each rank and only those buckets are ranked. By default digits grow with the
+    largest rank, so that a bucket holds some ten thousand rows at any table size.
     """
+    if digits is None:
+        top = targets.agg(F.max("rank")).first()[0] or 1
+        digits = max(3, math.ceil(math.log(max(1.0, top / BUCKET_ROWS), 16)))
     narrow = settle(df.select(row_id, *(strata or [])))
     hashed = narrow.select(
         stratum_key(strata or []).alias("_key"), hash_order(F.col(row_id), seed).alias("_hash")
