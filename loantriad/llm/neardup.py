@@ -8,8 +8,9 @@
    with one that a hash chooses, another in every band.
 3. Buckets that still hold several components are compared in full, in blocks of ``BLOCK`` members, each pair of
    blocks together. The bucket's largest component is not compared with itself: its blocks meet the others' only, so
-   large groups of copies stay small. A pair of blocks hands on one link less than it has members, at most. The same
-   set of members in several bands is compared once.
+   large groups of copies stay small. A pair of blocks is compared by products of 0/1 matrices of their
+   shingles and hands on one link less than it has members, at most. The same set of members in several bands is
+   compared once.
 
 In both steps two texts whose sizes rule the similarity out, or whose odd sketches differ by so much that the similarity
 lies ``SLACK`` below the threshold, are left; all others are decided on their whole sets of shingles. At a similarity
@@ -37,8 +38,9 @@ from loantriad.session import materialise
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 SKETCH_BITS = 512
-SLACK = 0.25
-BLOCK = 64
+SLACK = 0.2
+BLOCK = 512
+COLUMNS = 4_096
 
 _U = np.uint64
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -214,8 +216,42 @@ def _dealt_blocks(members: DataFrame, block: int) -> DataFrame:
         "key", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _compare(ids, component, own, crossing, sizes, bits, texts, percent: int, links: list) -> None:
+def _common(shingles: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a block's shingle sets: products of 0/1 matrices, some columns at a time."""
+    n = len(shingles)
+    owner = np.repeat(np.arange(n), [len(s) for s in shingles])
+    _, column, counts = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    shared = counts > 1  # a shingle of one text only is in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((n, n), np.float32)
+    width = int(shared.sum())
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, width - low)), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _compare(ids, component, own, crossing, sizes, bits, texts, percent: int, hashes: WordHashes, links: list) -> None:
     """Links between the members of one pair of blocks, a spanning forest of them at most."""
+    worth = np.zeros((len(ids), len(ids)), bool)
+    for x in range(len(ids) - 1):
+        worth[x, x + 1:] = _worth(sizes[x], sizes[x + 1:], bits[x], bits[x + 1:], percent)
+    worth &= component[:, None] != component[None, :]
+    if crossing:  # pairs inside a block belong to the block's own turn
+        worth &= own[:, None] != own[None, :]
+    if not worth.any():
+        return
+    if len(ids) > 4:
+        used = np.flatnonzero(worth.any(axis=0) | worth.any(axis=1))
+        both = _common([shingle_hashes(hashes.of(lower_words(texts[x]))) for x in used])
+        union = sizes[used][:, None] + sizes[used][None, :] - both
+        worth[np.ix_(used, used)] &= 100 * both >= percent * union
     sets: dict[int, set] = {}
     root = {c: c for c in component.tolist()}
 
@@ -225,25 +261,23 @@ def _compare(ids, component, own, crossing, sizes, bits, texts, percent: int, li
             c = root[c]
         return c
 
-    for x in range(len(ids) - 1):
-        worth = _worth(sizes[x], sizes[x + 1:], bits[x], bits[x + 1:], percent) & (component[x + 1:] != component[x])
-        if crossing:  # pairs inside a block belong to the block's own turn
-            worth &= own[x + 1:] != own[x]
-        for y in (np.flatnonzero(worth) + x + 1).tolist():
-            p, q = top(component[x]), top(component[y])
-            if p == q:
-                continue
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = shingle_set(texts[z])
-            if linked(sets[x], sets[y], percent):
-                root[q] = p
-                links.append((ids[x], ids[y]))
+    for x, y in zip(*(at.tolist() for at in np.nonzero(worth))):
+        p, q = top(component[x]), top(component[y])
+        if p == q:
+            continue
+        for z in (x, y):
+            if z not in sets:
+                sets[z] = shingle_set(texts[z])
+        if linked(sets[x], sets[y], percent):
+            root[q] = p
+            links.append((ids[x], ids[y]))
 
 
 def _compare_sorted(percent: int):
     """Rows come sorted by pair of blocks; the last pair of a batch may go on in the next."""
 
+    hashes = WordHashes()
+
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for frame in frames:
@@ -264,7 +298,7 @@ def _compare_sorted(percent: int):
         ids, component, own, sizes = (frame[c].to_numpy() for c in ("id", "component", "own", "n_shingles"))
         bits, texts, links = _bits(frame["sketch"].tolist()), frame["text"].tolist(), []
         for a, b in zip(starts, starts[1:]):
-            _compare(ids[a:b], component[a:b], own[a:b], keys[a][1] != keys[a][2], sizes[a:b], bits[a:b], texts[a:b], percent, links)
+            _compare(ids[a:b], component[a:b], own[a:b], keys[a][1] != keys[a][2], sizes[a:b], bits[a:b], texts[a:b], percent, hashes, links)
         if links:
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
