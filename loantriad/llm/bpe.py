@@ -166,15 +166,16 @@ class ChunkEncoder:
         get = self.known.get
         parts = [self._chunks(text or "") for text in texts]
         found = [list(map(get, chunks)) for chunks in parts]
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        new = list({c for k in gaps for c, ids in zip(parts[k], found[k]) if ids is None})
+        gaps = [[i for i, ids in enumerate(line) if ids is None] if None in line else () for line in found]
+        new = list({chunks[i] for chunks, at in zip(parts, gaps) for i in at})
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = dict(self.ids_of_special)
         fresh = dict(zip(new, self.encode_chunks(new)))
         self.known.update(fresh)
-        for k in gaps:
-            found[k] = [fresh[c] if ids is None else ids for c, ids in zip(parts[k], found[k])]
-        return [b"".join(ids) for ids in found]
+        for chunks, line, at in zip(parts, found, gaps):
+            for i in at:
+                line[i] = fresh[chunks[i]]
+        return [b"".join(line) for line in found]
 
     def _chunks(self, text: str) -> list[str]:
         if self.at_special is None:

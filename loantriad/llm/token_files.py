@@ -63,8 +63,10 @@ def library_chunks(tokenizer) -> Callable[[list[str]], list[bytes]]:
         if len(words) + len(new) > CACHE_WORDS // 2:
             words, older = {}, words
             new = set(heads)
-        words.update({h: older[h] for h in new if h in older})
-        new = [h for h in new if h not in words]
+        if older:
+            words.update({h: older[h] for h in new & older.keys()})
+            new -= words.keys()
+        new = list(new)
         words.update(zip(new, map(pack, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         return [words[h] if len(h) == len(c) else words[h] + signs[c[-1]] for c, h in zip(chunks, heads)]
 
