@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loantriad.llm.bpe import file_text
 from loantriad.llm.common import table, vocabulary_path
 from loantriad.llm.registry import corpus_query
+from loantriad.llm.token_counts import token_counts
 from loantriad.llm.token_files import library_encoder
 from loantriad.session import materialise
 
@@ -122,7 +123,9 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return best_fit(token_lengths(docs, path or vocabulary_path("byte_bpe_50k.json")))
+    """Packs documents by their longest-match word pieces and one end token; see ``token_lengths`` for merged ids."""
+    counts = token_counts(docs, path or vocabulary_path("byte_bpe_50k.json"))
+    return best_fit(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")))
 
 
 @corpus_query("op10_best_fit_packing")
