@@ -79,7 +79,7 @@ def test_elimination(data):
 def test_flow(spark, folder):
     cfg = cf.Settings(
         risk=lambda: le.gradient_boosting(3, 0.1, 3), boundary_tree=lambda: le.decision_tree(2, 4, weight="copies"),
-        boundary_bags=2, folds=2, steps=8, rounds=1, rule="width",
+        boundary_bags=2, folds=2, steps=8, rounds=1, rule="cost",
     )
     data = cf.model_table(spark, folder, 2)
     rows, weights = cf.cross_validated(data, cfg)
