@@ -156,9 +156,12 @@ class Vocabulary:
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; ``encode_chunks`` turns new chunks into such bytes."""
 
+    special_id = staticmethod(lambda i: int(i).to_bytes(4, "little"))
+    joined = staticmethod(b"".join)
+
     def __init__(self, special: dict[str, int], encode_chunks: Callable[[list[str]], list[bytes]]):
         self.encode_chunks = encode_chunks
-        self.ids_of_special = {name: int(i).to_bytes(4, "little") for name, i in special.items()}
+        self.ids_of_special = {name: self.special_id(i) for name, i in special.items()}
         self.known: dict[str, bytes] = dict(self.ids_of_special)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -175,7 +178,7 @@ class ChunkEncoder:
         for chunks, line, at in zip(parts, found, gaps):
             for i in at:
                 line[i] = fresh[chunks[i]]
-        return [b"".join(line) for line in found]
+        return list(map(self.joined, found))
 
     def _chunks(self, text: str) -> list[str]:
         if self.at_special is None:
@@ -201,6 +204,13 @@ class ChunkEncoder:
         return out
 
 
+class ChunkCounter(ChunkEncoder):
+    """How many ids texts have; ``encode_chunks`` turns new chunks into such numbers."""
+
+    special_id = staticmethod(lambda i: 1)
+    joined = staticmethod(sum)
+
+
 _PRE = regex.compile(PATTERN)
 
 

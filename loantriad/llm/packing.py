@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loantriad.llm.bpe import file_text
 from loantriad.llm.common import table, vocabulary_path
 from loantriad.llm.registry import corpus_query
-from loantriad.llm.token_counts import token_counts
-from loantriad.llm.token_files import library_encoder
+from loantriad.llm.token_files import BATCH_ROWS, library_encoder
 from loantriad.session import materialise
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -115,17 +114,18 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     content = docs.sparkSession.sparkContext.broadcast(file_text(path))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = library_encoder(content.value)
+        counter = library_encoder(content.value, counts=True)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(i) // 4 + 1 for i in encoder.batch(frame["text"])]})
+            for at in range(0, len(frame), BATCH_ROWS):  # chunks of few texts in memory at a time
+                part = frame.iloc[at:at + BATCH_ROWS]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [n + 1 for n in counter.batch(part["text"])]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
 
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Packs documents by their longest-match word pieces and one end token; see ``token_lengths`` for merged ids."""
-    counts = token_counts(docs, path or vocabulary_path("byte_bpe_50k.json"))
-    return best_fit(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")))
+    """Packs documents by their merged ids and one end id, as the token files hold them."""
+    return best_fit(token_lengths(docs, path or vocabulary_path("byte_bpe_50k.json")))
 
 
 @corpus_query("op10_best_fit_packing")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loantriad.llm.bpe import ChunkEncoder, file_text
+from loantriad.llm.bpe import ChunkCounter, ChunkEncoder, file_text
 from loantriad.llm.common import CACHE_WORDS, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
 from loantriad.session import scratch_path
@@ -36,7 +36,7 @@ ROW_INDEX = 1_000
 BLOOM_FPP = 0.01
 BATCH_ROWS = 256
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[int, bool], ChunkEncoder] = {}
 
 
 #: One of these after a word of letters is a token by itself.
@@ -49,14 +49,18 @@ def _is_word(c: str) -> bool:
     return len(c) > 1 and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) and not _FAR.search(c)
 
 
-def library_chunks(tokenizer) -> Callable[[list[str]], list[bytes]]:
-    """Encodes chunks through the tokenizers library; words are remembered, with or without a sign after them."""
-    pack = lambda e: array("I", e.ids).tobytes()
+def packed_ids(encoding) -> bytes:
+    return array("I", encoding.ids).tobytes()
+
+
+def library_chunks(tokenizer, pack: Callable = packed_ids) -> Callable[[list[str]], list]:
+    """Encodes chunks through the tokenizers library; words are remembered, with or without a sign after them.
+    ``pack`` is what is kept of an encoding: its ids, or with ``len`` their number."""
     signs = {s: pack(tokenizer.encode(s, add_special_tokens=False)) for s in SIGNS}
-    words: dict[str, bytes] = {}  # half of the cache; when it is full it becomes the older half
-    older: dict[str, bytes] = {}
+    words: dict = {}  # half of the cache; when it is full it becomes the older half
+    older: dict = {}
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def encode(chunks: list[str]) -> list:
         nonlocal words, older
         heads = [c[:-1] if c[-1] in signs and _is_word(c[:-1]) else c for c in chunks]
         new = {h for h in heads if h not in words}
@@ -73,9 +77,9 @@ def library_chunks(tokenizer) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def library_encoder(content: str) -> ChunkEncoder:
-    """This worker's encoder; kept between tasks."""
-    key = hash(content)
+def library_encoder(content: str, counts: bool = False) -> ChunkEncoder:
+    """This worker's encoder, or counter of ids; kept between tasks."""
+    key = hash(content), counts
     if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -84,7 +88,7 @@ def library_encoder(content: str) -> ChunkEncoder:
         tokenizer.no_padding()
         tokenizer.no_truncation()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _ENCODERS[key] = ChunkEncoder(special, library_chunks(tokenizer))
+        _ENCODERS[key] = ChunkCounter(special, library_chunks(tokenizer, len)) if counts else ChunkEncoder(special, library_chunks(tokenizer))
     return _ENCODERS[key]
 
 

@@ -156,3 +156,13 @@ def test_packing_of_rows(spark):
     assert packing.best_fit(docs.limit(0)).count() == 0
     assert packing.packed_documents(empty(spark)).count() == 0
     assert packing.packed_documents(awkward(spark)).select("doc_id").distinct().count() == len({i for i, *_ in rows()})
+
+
+def test_packed_lengths_are_the_token_files(spark, folder, library):
+    """Every text's pieces hold all ids of the tokenizer and the end id: white space and line breaks count."""
+    docs = awkward(spark).select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts())], "doc_id long, text string"))
+    docs = docs.unionByName(table(spark, folder, "documents").selectExpr("doc_id + 10000 as doc_id", "text")).where("doc_id is not null")
+    expected = {}
+    for r in docs.collect():
+        expected[r.doc_id] = expected.get(r.doc_id, 0) + len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert {r[0]: r[1] for r in packing.packed_documents(docs).groupBy("doc_id").sum("length").collect()} == expected
