@@ -1,11 +1,12 @@
-"""Quality rules: counts per text, then a log-likelihood ratio of hashed n-grams between trusted and raw text.
+"""Quality rules: counts per text, then a log-likelihood ratio of n-grams between trusted and raw text.
 
-Runs of letters and digits and runs of other signs, alone and in pairs, are hashed into ``buckets``. Two multinomials
-over the buckets, one of the trusted documents and one of all documents, are smoothed by ``prior`` counts per bucket
-(scaled to each side's size) and give every bucket a log ratio. A document's score is the mean ratio of its n-grams; it
+Runs of letters and digits and runs of other signs, alone and in pairs, are told apart by a 64-bit hash. Two multinomials
+over them, one of the trusted documents and one of all documents, are smoothed by ``prior`` counts per n-gram
+(scaled to each side's size) and give every n-gram a log ratio. A document's score is the mean ratio of its n-grams; it
 is kept if the score reaches ``threshold``, the same fixed number at every size. Everything is built-in SQL functions:
-one pass counts (partial sums per task, at most ``buckets`` rows per task shuffled), one pass scores with the ratios as
-a constant array of ``buckets`` numbers. Ratios are whole millionths, so sums don't depend on their order.
+one pass counts and stores a row per distinct n-gram, whatever their number; two passes look the ratios up. N-grams that make
+up at least 1 / ``FREQUENT`` of all (so at most ``FREQUENT`` of them) are broadcast, all others meet their ratio in a shuffle,
+where none of them is hot. Ratios are whole millionths, so sums don't depend on their order.
 
 Defined results: null or empty text has no words, score 0 and fails the base rules; a repeated row is scored each time;
 an empty table gives an empty table; without trusted documents all ratios are 0 and only the base rules decide.
@@ -18,9 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loantriad.llm.common import WORD_GAP, table
 from loantriad.llm.registry import corpus_query
-from loantriad.session import materialise
+from loantriad.session import materialise, settle
 
-BUCKETS = 1 << 14
+#: Different keys of n-grams: all 64-bit hashes.
+BUCKETS = 1 << 64
+FREQUENT = 1 << 18
 PRIOR = 10
 THRESHOLD = -0.3
 MIN_WORDS = 50
@@ -60,42 +63,41 @@ def ngrams(text: Column) -> Column:
     return F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"))
 
 
-def bucket(*parts: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def keys_of(g: str) -> list[Column]:
+    """Hashes of a token and of its pair (null after the last)."""
+    a, b = F.col(f"{g}.a"), F.col(f"{g}.b")
+    return [F.when(a.isNotNull(), F.xxhash64(a)), F.when(b.isNotNull(), F.xxhash64(a, b))]
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """(bucket, ratio) for every bucket that occurs, in millionths; a bucket that doesn't has ratio 0.
+def exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row for each n-gram of each text."""
+    grams = rows.select(*keep, F.explode(ngrams(F.col("text"))).alias("g"))
+    return grams.select(*keep, F.explode(F.array(*keys_of("g"))).alias("gram")).where("gram is not null")
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(gram, ratio, frequent) for every n-gram that occurs; ratios in millionths.
 
     ``trusted`` holds the doc_id of trusted documents; a document counts once however often its id is listed.
     """
     marks = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("good", F.lit(1))
     marked = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left")  # one plan at every size
-    grams = marked.select("good", F.explode(ngrams(F.col("text"))).alias("g")).select(
-        "good", F.explode(F.array(bucket(F.col("g.a"), buckets=buckets),
-                                  F.when(F.col("g.b").isNotNull(), bucket(F.col("g.a"), F.col("g.b"), buckets=buckets)))).alias("bucket"))
-    counts = materialise(grams.where("bucket is not null").groupBy("bucket").agg(
+    counts = materialise(exploded(marked, "good").groupBy("gram").agg(
         F.count("*").alias("raw"), F.count("good").alias("target")), "ngram-counts")
-    share = counts.agg((F.sum("target") / F.sum("raw")).alias("share")).scalar()
+    target, raw = counts.agg(F.sum("target"), F.sum("raw")).first()
+    share = target / raw if raw else 0.0
     ratio = F.log((F.col("target") + prior) / (F.col("raw") * share + prior))
-    return counts.select("bucket", F.round(ratio * SCALE).cast("long").alias("ratio"))
-
-
-def ratio_array(ratios: DataFrame, buckets: int = BUCKETS) -> Column:
-    """The ratios as one array in order of the buckets: ``buckets`` numbers, whatever the corpus."""
-    rows = ratios.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = rows.join(ratios, "bucket", "left").select("bucket", F.coalesce("ratio", F.lit(0)).alias("ratio"))
-    packed = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda r: r.ratio).alias("v"))
-    return packed.select("v").scalar()
+    return counts.select("gram", F.round(ratio * SCALE).cast("long").alias("ratio"), (F.col("raw") * FREQUENT >= F.lit(raw or 0)).alias("frequent"))
 
 
-def score(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD,
+def score(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD,
           min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts, base_failed, llr (mean log ratio), kept."""
-    weights = ratio_array(ratios, buckets)
+    rows = settle(docs.select("doc_id", "text"), "texts").withColumn("row", F.monotonically_increasing_id())
+    frequent = ratios.where("frequent").select("gram", "ratio")  # at most FREQUENT rows
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = (
-        docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
+        rows.select("doc_id", text.alias("text"), "row")
         .select("doc_id", "row", "text", words(F.col("text")).alias("w"))
         .select(
             "doc_id", "row", "text", F.size("w").cast("long").alias("n_words"),
@@ -106,13 +108,15 @@ def score(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold:
         )
     )
     keys = ["doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = counted.select(*keys, F.explode_outer(ngrams(F.col("text"))).alias("g"))
-    at = lambda b: F.get(weights, b)
-    one = at(bucket(F.col("g.a"), buckets=buckets))
-    two = at(bucket(F.col("g.a"), F.col("g.b"), buckets=buckets))
+    one, two = keys_of("g")
+    grams = counted.select(*keys, F.explode_outer(ngrams(F.col("text"))).alias("g")).select(*keys, one.alias("one"), two.alias("two"))
+    for key in ("one", "two"):
+        grams = grams.join(F.broadcast(frequent.select(F.col("gram").alias(key), F.col("ratio").alias(f"{key}_ratio"))), key, "left")
     summed = grams.groupBy(*keys).agg(
-        F.sum(F.when(F.col("g.a").isNull(), F.lit(0)).otherwise(one + F.when(F.col("g.b").isNull(), F.lit(0)).otherwise(two))).alias("total"),
-        F.count("g.a").alias("tokens"))
+        F.sum(F.coalesce("one_ratio", F.lit(0)) + F.coalesce("two_ratio", F.lit(0))).alias("total"), F.count("one").alias("tokens"))
+    others = exploded(rows, "row").join(F.broadcast(frequent.select("gram")), "gram", "left_anti")
+    others = others.join(ratios.where("not frequent").hint("merge"), "gram").groupBy("row").agg(F.sum("ratio").alias("others"))
+    summed = summed.join(others.hint("merge"), "row", "left").withColumn("total", F.col("total") + F.coalesce("others", F.lit(0)))
     size = F.greatest(2 * F.col("tokens") - 1, F.lit(1))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     llr = F.col("total") / (size * SCALE)
@@ -121,9 +125,9 @@ def score(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold:
         (~failed & (llr >= threshold)).alias("kept"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Score ``docs``, trusting those that ``labels`` gives quality 1."""
-    return score(docs, log_ratios(docs, labels.where("quality = 1"), buckets), buckets, threshold)
+    return score(docs, log_ratios(docs, labels.where("quality = 1")), threshold)
 
 
 @corpus_query("op5_quality_rules")

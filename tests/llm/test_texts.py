@@ -88,6 +88,19 @@ def test_quality_brute_force(spark, folder):
     assert sorted((*r[:7], round(r.llr, 5), r.kept) for r in got) == sorted(expected)
 
 
+def test_quality_counts_every_ngram_apart(spark, folder, monkeypatch):
+    """One row per distinct n-gram however many there are; ratios looked up by shuffle and by broadcast agree."""
+    many = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 1_000, i * 1_000 + 1_000))) for i in range(30)], "doc_id long, text string")
+    ratios = quality.log_ratios(many, many.limit(0).select("doc_id"))
+    assert ratios.count() == 30 * (1_000 + 999)
+    monkeypatch.setattr(quality, "FREQUENT", 64)
+    docs, labels_ = table(spark, folder, "documents"), table(spark, folder, "labels")
+    assert 0 < quality.log_ratios(docs, labels_.where("quality = 1")).where("frequent").count() <= 64
+    good = {r.doc_id for r in labels_.where("quality = 1").collect()}
+    expected = brute_quality([(r.doc_id, r.text) for r in docs.collect()], good)
+    assert sorted((*r[:7], round(r.llr, 5), r.kept) for r in quality.quality(docs, labels_).collect()) == sorted(expected)
+
+
 def test_quality_awkward(spark):
     got = quality.quality(awkward(spark), labels(spark)).collect()
     expected = sorted((i if i is not None else -1, *base_counts(t)) for i, t, *_ in rows() if i != 8)
