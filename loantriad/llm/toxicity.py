@@ -7,8 +7,7 @@ and five letters), each once a sentence. A word's weight is the sum over its fea
 per word.
 
 Only features with clear evidence (see ``telling``) get a weight. Training uses at most ``TRAIN_DOCS`` labelled documents (those with the smallest hash of their id; equal texts
-count once), of which
-at most ``TRAIN_WORDS`` words are read each; executors turn them into arrays of hashes, choose the features with
+count once), read whole; executors turn them into arrays of hashes, choose the features with
 evidence and drop the rest, and the fit, a few dozen Adagrad passes over what remains, is one small numpy loop. Scoring reads every whole text.
 
 Defined results: null or empty text is one empty sentence (score of the bias); rows with a null doc_id or label are not
@@ -34,7 +33,6 @@ from loantriad.llm.registry import corpus_query
 from loantriad.session import materialise
 
 TRAIN_DOCS = 12_000
-TRAIN_WORDS = 4_000
 BUCKETS = 1 << 18
 PASSES = 150
 RATE = 1.0
@@ -70,15 +68,12 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
 
 def _bag(text: str) -> tuple[list[int], list[int]]:
     """Feature hashes of all sentences, and how many each sentence has."""
-    ids, sizes, words = [], [], 0
+    ids, sizes = [], []
     for a, b in sentences(text):
         found = set(WORD.findall(text[a:b].lower()))
-        words += len(found)
         hashes = set().union(*map(features, found)) if found else set()
         ids.extend(hashes)
         sizes.append(len(hashes))
-        if words >= TRAIN_WORDS:
-            break
     return ids, sizes
 
 

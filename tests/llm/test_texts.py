@@ -153,6 +153,12 @@ def test_toxicity_noisy_or():
     assert score == pytest.approx(1 - (1 - s) ** 3) and [("One. Two! Three"[a:b]).strip() for a, b, _ in parts] == ["One", "Two", "Three"]
 
 
+def test_toxicity_learns_from_whole_texts():
+    text = "Some plain words of a long clean text here. " * 1_000 + "Then the offence."
+    ids, sizes = toxicity._bag(text)
+    assert len(sizes) == 1_001 and toxicity.features("offence") <= set(ids[-sizes[-1]:])
+
+
 def test_toxicity_awkward(spark):
     got = toxicity.toxicity(awkward(spark), labels(spark)).collect()
     assert len(got) == len(rows()) and all(0 <= r.score <= 1 for r in got)
