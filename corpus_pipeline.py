@@ -2,8 +2,9 @@
 
 Quality rules, toxicity, near duplicates (five words, similarity 0.8; one document of each group stays), repeated
 passages, best-fit packing. Every stage works on all rows that its predecessor kept; all but the last return the columns
-of ``documents``. Rejections take effect by a join on doc_id, so columns with any names pass through. Rows of one
-doc_id are decided together: all go if one of them is rejected; a null doc_id is decided like any other id.
+of ``documents``. Every row is decided by itself, whatever its doc_id: operators are given row numbers as ids, and
+rejections take effect by a join on those, so columns with any names pass through. Of near duplicates the row with the
+least doc_id stays (rows without doc_id last, one of equal rows); rows without words are no duplicates.
 Empty tables pass through as such.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from loantriad.llm import neardup, packing, passages, quality, toxicity  # noqa: E402
 from loantriad.llm.common import table  # noqa: E402
-from loantriad.session import materialise, ship_package  # noqa: E402
+from loantriad.session import materialise, settle, ship_package  # noqa: E402
 
 #: Language-model scoring and trained labels have no equivalent in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
@@ -26,25 +27,44 @@ ORACLE_SQL = None
 NEAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``rejected``."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for every row, the same in each pass."""
+    return settle(docs, "numbered").withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """Row numbers, as doc_id, and texts."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``rows`` without those whose numbers are ``rejected``'s doc_id."""
+    gone = rejected.select(F.col("doc_id").alias(ROW))
+    return rows.join(gone.hint("merge"), ROW, "left_anti").drop(ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = quality.quality(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, verdicts.where("not kept"))
+    rows = _numbered(docs)
+    ratios = quality.log_ratios(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return _without(rows, quality.score(_texts(rows), ratios).where("not kept"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, verdicts.where("predicted = 1"))
+    rows = _numbered(docs)
+    model = toxicity.fit(toxicity.train_rows(docs, table(spark, sf_dir, "labels")))
+    return _without(rows, toxicity.score(_texts(rows), model).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = neardup.near_duplicates(docs, percent=NEAR_PERCENT)
-    return _without(docs, verdicts.where("not kept"))
+    rows = _numbered(docs)
+    found = neardup.near_duplicates(_texts(rows), percent=NEAR_PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, F.col("doc_id").alias("id"))
+    members = found.join(ids.hint("merge"), ROW)
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("least")).select(f"least.{ROW}")
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

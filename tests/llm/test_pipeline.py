@@ -45,6 +45,20 @@ def test_awkward_and_empty_tables(spark, folder):
         assert stage(spark, empty(spark), folder).count() == 0, name
 
 
+def test_rows_are_decided_by_themselves(spark, folder):
+    """A rejected row takes no other row of its doc_id along, nulls included; of copies one stays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = docs.join(table(spark, folder, "labels").where("quality = 1 and toxic = 0"), "doc_id").where("size(split(text, ' ')) between 80 and 400")
+    a, b, c = [r.text for r in good.select("text").distinct().orderBy("text").limit(3).collect()]
+    rows = [(9_000_001, a), (9_000_001, "junk"), (None, b), (None, "junk")]
+    planted = spark.createDataFrame(rows, docs.schema).unionByName(docs)
+    kept = dict(cp.STAGES)["quality_rules"](spark, planted, folder).where("doc_id is null or doc_id = 9000001").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(9_000_001, a), (None, b)}
+    copies = spark.createDataFrame([(7, a), (7, a), (7, b), (None, b), (None, c), (None, c), (5, a), (None, ""), (None, "")], docs.schema)
+    left = dict(cp.STAGES)["near_duplicates"](spark, copies, folder).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(5, a), (7, b), (0, c), (0, ""), (0, "")])
+
+
 def test_planted_rows(spark, folder):
     """Clean text stays, copies leave one, a shared passage goes."""
     docs = table(spark, folder, "documents")
