@@ -273,6 +273,19 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 50 for i in range(50, 91)}, 1: 1, 3: 1, 7: 1}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_sketch_loses_less_than_the_bands(similarity):
+    """Exact: places that differ are binomial, each puts two balls into the bits, the odd bits are a Markov chain."""
+    k, bits = neardup.BANDS * neardup.ROWS, np.arange(neardup.SKETCH_BITS + 1)
+    left_out, odd, lost = bits > neardup.most_different_bits(similarity), (bits == 0).astype(float), 0.0
+    for m in range(k + 1):
+        lost += math.comb(k, m) * (1 - similarity) ** m * similarity ** (k - m) * odd[left_out].sum()
+        for _ in range(2):
+            up, down = odd * (1 - bits / neardup.SKETCH_BITS), odd * bits / neardup.SKETCH_BITS
+            odd = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    assert lost < (1 - similarity ** neardup.ROWS) ** neardup.BANDS
+
+
 def test_odd_sketch_distance_follows_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 1_000).astype(np.uint64)
