@@ -32,12 +32,12 @@ def report(spark, folder, model: Estimator, prepare=None) -> DataFrame:
 
 @query("ml1_gradient_boosting")
 def ml1(spark, folder):
-    return report(spark, folder, le.gradient_boosting(20, 0.05))
+    return report(spark, folder, le.gradient_boosting(300, 0.05))
 
 
 @query("ml2_random_forest")
 def ml2(spark, folder):
-    return report(spark, folder, le.random_forest(20))
+    return report(spark, folder, le.random_forest(200))
 
 
 @query("ml3_decision_tree")
@@ -53,7 +53,7 @@ def ml4(spark, folder):
 
 @query("ml5_linear_svm")
 def ml5(spark, folder):
-    return report(spark, folder, le.linear_svm(20))
+    return report(spark, folder, le.linear_svm())
 
 
 @query("ml5_linear_svm_classes")
@@ -66,7 +66,7 @@ def ml5_classes(spark, folder):
     from loantriad.operators.sampling import train_test_split
 
     train, test = train_test_split(data, "vec_id", 0.2)
-    scored = le.linear_svm(10, many_classes=True).fit(train).transform(test)
+    scored = le.linear_svm(many_classes=True).fit(train).transform(test)
     return class_counts(scored.withColumn("pred", F.col("prediction").cast("int")), "y", "pred")
 
 
@@ -77,12 +77,12 @@ def ml6(spark, folder):
 
 @query("ml7_perceptron")
 def ml7(spark, folder):
-    return report(spark, folder, le.perceptron(len(NAMES), (8,), rounds=30))
+    return report(spark, folder, le.perceptron(len(NAMES)))
 
 
 @query("ml9_adaboost")
 def ml9(spark, folder):
-    return report(spark, folder, es.AdaBoostClassifier(NAMES, 10))
+    return report(spark, folder, es.AdaBoostClassifier(NAMES))
 
 
 @query("ml10_linear_discriminant")
@@ -203,33 +203,30 @@ def evl9(spark, folder):
     return se.train_and_evaluate(models, train, test, cost)
 
 
-def small_settings() -> cf.Settings:
-    return cf.Settings(
-        risk=lambda: le.gradient_boosting(5, 0.1, 4), boundary_tree=lambda: le.decision_tree(depth=5, weight="copies"),
-        boundary_bags=3, folds=2, rounds=1, steps=10,
-    )
+def full_settings() -> cf.Settings:
+    """The reference's: 5 folds, 10 bags, 300 rounds, SMOTE, recursive elimination."""
+    risk = lambda: le.gradient_boosting(300, 0.05)
+    return cf.Settings(risk=risk, eliminate=risk)
 
 
 @query("flow_cross_validated")
 def flow(spark, folder):
-    """Every step of the composed flow on two folds: balance, score, search, decide, resolve, evaluate."""
-    cfg = small_settings()
+    """Every step of the composed flow on five folds: eliminate, balance, score, search, decide, resolve, evaluate."""
+    cfg = full_settings()
     rows, _ = cf.cross_validated(cf.model_table(spark, folder, cfg.folds), cfg)
     return rows
 
 
 @query("flow_fold_summary")
 def flow_summary(spark, folder):
-    cfg = small_settings()
-    cfg.balance = False
+    cfg = full_settings()
     rows, _ = cf.cross_validated(cf.model_table(spark, folder, cfg.folds), cfg)
     return fold_summary(rows, ["bacc", "gm", "fm", "auc", "precision", "recall", "cost", "tp", "tn", "fp", "fn"])
 
 
 @query("flow_comparison")
 def flow_comparison(spark, folder):
-    cfg = small_settings()
-    cfg.balance = False
+    cfg = full_settings()
     data = cf.model_table(spark, folder, cfg.folds)
     rows, _ = cf.cross_validated(data, cfg)
     single = cf.baselines(data, {"RandomForest": lambda: le.random_forest(5, 5), "Logistic": lambda: le.logistic(20)}, cfg)

@@ -91,3 +91,10 @@ def test_flow(spark, folder):
     single = cf.baselines(data, {"Logistic": lambda: le.logistic(10)}, cfg)
     table = {r.model: r for r in cf.compare(single, rows).collect()}
     assert table["Logistic"].recall is None and table["Proposed"].recall is not None
+
+
+def test_flow_queries_run_the_reference_settings():
+    from loantriad.catalog import modelling
+
+    cfg = modelling.full_settings()
+    assert (cfg.folds, cfg.boundary_bags, cfg.steps, cfg.balance) == (5, 10, 20, True) and cfg.eliminate is not None
