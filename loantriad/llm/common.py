@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Space and the five ASCII controls that end a word; everything else belongs to words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -59,3 +65,36 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def beside(docs: DataFrame, keep: list[str], take: list[str], start: Callable, added: str, rows: int | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` beside the ``added`` columns that Python makes of the ``take`` columns.
+
+    ``keep`` never leaves Arrow: in pandas a null would turn all large integers beside it into doubles. ``start()`` runs
+    once a task and returns a function from a frame of ``take`` (at most ``rows`` rows) to frames of ``added``, one row for
+    each row it got; or any number of rows, with the place of the row that each came from in a column ``at``.
+    """
+    source = docs.select(*dict.fromkeys([*keep, *take]))
+    fields = StructType.fromDDL(added)
+    schema = StructType([*(source.schema[k] for k in keep), *fields])
+    made_schema, names = to_arrow_schema(fields), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows or max(whole.num_rows, 1)):
+                batch = whole.slice(first, rows)
+                for frame in work(batch.select(take).to_pandas()):
+                    kept = [batch.column(k) for k in keep]
+                    if "at" in frame:
+                        at = pa.array(frame.pop("at"), pa.int64())
+                        kept = [k.take(at) for k in kept]
+                    made = pa.RecordBatch.from_pandas(frame, made_schema, preserve_index=False)
+                    yield pa.RecordBatch.from_arrays([*kept, *made.columns], names)
+
+    return source.mapInArrow(run, schema)
+
+
+def row_by_row(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
+    """A ``start`` of ``beside`` for a function that needs nothing of its own."""
+    return lambda: lambda frame: iter([fn(frame)])
