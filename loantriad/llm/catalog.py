@@ -4,7 +4,8 @@ from importlib import import_module
 
 from loantriad.llm.registry import CORPUS_CHECKS, CORPUS_QUERIES
 
-MODULES = ("toxicity", "token_files", "passages", "quality", "bpe", "token_counts", "packing", "neardup", "topk", "pages")
+MODULES = ("toxicity", "token_files", "passages", "quality", "bpe", "token_counts", "packing", "neardup", "topk", "pages",
+           "runs", "alignment", "language")
 
 for _module in MODULES:
     import_module(f"loantriad.llm.{_module}")
