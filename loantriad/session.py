@@ -31,7 +31,7 @@ def build_session(app: str = "loantriad", master: str | None = None, **conf: str
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -81,13 +81,16 @@ def _stored(spark: SparkSession) -> list[str]:
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables stored by this session (from the ``since``-th on). Frames that read them are void then."""
     paths = _stored(spark)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths[since:]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(spark, path)
     del paths[since:]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables stored inside the block go at its end: write or collect results before."""
@@ -102,7 +105,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing parquet to the shared folder: survives executor loss, keeps pruning."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._loantriad_path = path
+    return stored
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete tables that ``materialise`` stored, once all that was made of them is stored itself."""
+    for df in stored:
+        spark, path = df.sparkSession, df._loantriad_path
+        _delete(spark, path)
+        _stored(spark).remove(path)
 
 
 #: Nodes of a logical plan whose work is not worth repeating.
