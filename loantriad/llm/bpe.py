@@ -20,14 +20,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loantriad.llm.common import CACHE_WORDS, table, vocabulary_path
+from loantriad.llm.common import CACHE_WORDS, beside, row_by_row, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
 
 #: The public pretokenisation pattern of this vocabulary (fixed value).
@@ -261,33 +261,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit bytes) and the decoded text of every row."""
     content = docs.sparkSession.sparkContext.broadcast(file_text(path))  # a vocabulary file
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         encoder, bytes_of = worker_state(content.value)
-        for frame in frames:
-            ids = encoder.batch(frame["text"])
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids": ids,
-                "decoded": [decode(np.frombuffer(i, "<u4"), bytes_of) for i in ids]})
+        ids = encoder.batch(frame["text"])
+        return pd.DataFrame({
+            "n_tokens": [len(i) // 4 for i in ids], "ids": ids,
+            "decoded": [decode(np.frombuffer(i, "<u4"), bytes_of) for i in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return beside(docs, ["doc_id"], ["text"], row_by_row(run), "n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """As ``encode``, with hashes in place of ids and text, so that neither leaves the task."""
     content = docs.sparkSession.sparkContext.broadcast(file_text(path))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         encoder, bytes_of = worker_state(content.value)
-        for frame in frames:
-            ids = encoder.batch(frame["text"])
-            texts = (decode(np.frombuffer(i, "<u4"), bytes_of) for i in ids)
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_tokens": [len(i) // 4 for i in ids],
-                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                "decoded_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]})
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ids = encoder.batch(frame["text"])
+        texts = (decode(np.frombuffer(i, "<u4"), bytes_of) for i in ids)
+        return pd.DataFrame({
+            "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+            "decoded_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]})
+
+    return beside(docs, ["doc_id"], ["text"], row_by_row(run), "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @corpus_query("op7_bpe_codec")

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loantriad.llm.common import WordHashes, mix, table, window_hashes, words_of
+from loantriad.llm.common import WordHashes, beside, mix, table, window_hashes, words_of
 from loantriad.llm.components import components
 from loantriad.llm.registry import corpus_query
 from loantriad.session import materialise
@@ -88,9 +88,10 @@ def most_different_bits(threshold: float) -> float:
     return SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ)
 
 
-def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signatures():
     hashes = WordHashes()
-    for frame in frames:
+
+    def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         digests, sizes, bands, sketches = [], [], [], []
         for text in frame["text"]:
             words = lower_words(text)
@@ -106,12 +107,13 @@ def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes.append(len(shingles))
             bands.append(band_keys(low).view(np.int64))
             sketches.append(odd_sketch(low).tobytes())
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "digest": digests, "n_shingles": sizes, "bands": bands, "sketch": sketches})
+        yield pd.DataFrame({"digest": digests, "n_shingles": sizes, "bands": bands, "sketch": sketches})
+
+    return run
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(
-        _signatures, "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary")
+    return beside(docs, ["doc_id"], ["text"], _signatures, "digest binary, n_shingles long, bands array<long>, sketch binary")
 
 
 def _bits(sketches) -> np.ndarray:

@@ -15,13 +15,13 @@ table; only doc_id and text are read.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from loantriad.llm.bpe import byte_letters, file_text
-from loantriad.llm.common import CACHE_WORDS, table, vocabulary_path, words_of
+from loantriad.llm.common import CACHE_WORDS, beside, row_by_row, table, vocabulary_path, words_of
 from loantriad.llm.registry import corpus_query
 
 UNKNOWN = -1
@@ -126,18 +126,15 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every row; ``path`` is a byte-level vocabulary file."""
     content = docs.sparkSession.sparkContext.broadcast(file_text(path))  # a vocabulary file
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         key = hash(content.value)
         if key not in _COUNTS:
             _COUNTS[key] = Counts(Automaton(byte_pieces(content.value)), b" ")
         counts = _COUNTS[key]
-        for frame in frames:
-            words = [words_of(text) for text in frame["text"]]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_words": [len(w) for w in words],
-                "n_tokens": [sum(map(counts.__getitem__, w)) for w in words]})
+        words = [words_of(text) for text in frame["text"]]
+        return pd.DataFrame({"n_words": [len(w) for w in words], "n_tokens": [sum(map(counts.__getitem__, w)) for w in words]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return beside(docs, ["doc_id"], ["text"], row_by_row(run), "n_words long, n_tokens long")
 
 
 @corpus_query("op8_token_counts")

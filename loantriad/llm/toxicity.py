@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loantriad.llm.common import CACHE_WORDS, table
+from loantriad.llm.common import CACHE_WORDS, beside, table
 from loantriad.llm.registry import corpus_query
 from loantriad.session import materialise
 
@@ -211,7 +211,7 @@ class Scorer:
         return 1 - clean, parts
 
 
-SCORED = "doc_id long, score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
+SCORED = "score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,17 +221,19 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                            F.array().cast("array<struct<start:int,end:int,score:double>>").alias("offending"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         scorer = Scorer(shared.value)
-        for frame in frames:
+
+        def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             found = [scorer.document(text) for text in frame["text"]]
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "score": [s for s, _ in found],
-                "predicted": [int(s >= threshold) for s, _ in found],
+                "score": [s for s, _ in found], "predicted": [int(s >= threshold) for s, _ in found],
                 "offending": [[{"start": a, "end": b, "score": x} for a, b, x in parts if x >= threshold] for _, parts in found],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCORED)
+        return run
+
+    return beside(docs, ["doc_id"], ["text"], start, SCORED)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
