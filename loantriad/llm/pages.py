@@ -23,13 +23,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from loantriad.llm.common import table
+from loantriad.llm.common import beside, row_by_row, table
 from loantriad.llm.registry import corpus_query
 
 # What HTML itself says about its tags.
@@ -174,23 +173,12 @@ def measure(root: Node) -> list[Node]:
         if c:
             base = math.log(c / max(c - node.link_chars, 1) * lc + ratio * c + math.e)
             node.density = c / t * math.log(max(c / lc * t / lt, 1e-9)) / math.log(base) if base > 1.0000001 else c / t
-        node.total = _child_densities(node)
+        # densities of the nearest blocks below; inline tags stand between, but are no parts of a page by themselves
+        node.total = sum(
+            p.density if p.tag in BLOCK else p.total for p in reversed(node.parts) if isinstance(p, Node) and not p.left)
     return nodes
 
 
-def _child_densities(node: Node) -> float:
-    """Densities of the nearest blocks below; inline tags stand between, but are no parts of a page by themselves."""
-    total, todo = 0.0, list(node.parts)
-    while todo:
-        part = todo.pop()
-        if isinstance(part, Node) and not part.left:
-            if part.tag in BLOCK:
-                total += part.density
-            else:
-                todo += part.parts
-    return total
-
-
 def main_nodes(root: Node) -> set[int]:
     """Identities of the nodes that are content, each with all below it."""
     nodes = measure(root)
@@ -284,12 +272,11 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [main_text(html) for html in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        texts = [main_text(html) for html in frame["html"]]
+        return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return beside(pages, ["page_id", "url"], ["html"], row_by_row(run), "text string, n_chars long")
 
 
 @corpus_query("op6_main_text")
