@@ -5,10 +5,11 @@ the same minimiser form a super-k-mer. Equal windows have equal minimisers, so o
 again (or that repeat a window inside) can hold repeats. Minimisers are counted first, as numbers; then the super-k-mers
 in question travel to their minimiser's bucket, each as one packed string of its words. Equal strings are counted
 before they are shuffled; a bucket sorts its windows and counts runs of equal ones, comparing the words themselves. A
-minimiser with more than ``hot`` super-k-mers gets a bucket per window, so that no bucket grows with the corpus.
+minimiser with more than ``hot`` super-k-mers, or ``LONG`` times as many windows in them (a periodic text is one of all its
+windows), gets a bucket per window, so that no bucket grows with the corpus or with a text.
 
-Repeats are judged on the input: all copies go, the first one too. Rows are told apart by doc_id and text; equal rows
-are copies of each other and get equal results.
+Repeats are judged on the input: all copies go, the first one too. Rows are known by row numbers, so equal rows
+are copies of each other and get equal results, whatever their ids.
 
 Defined results: null or empty text, and texts shorter than a window, keep all their words; a null doc_id is a document
 as any other; an empty table gives an empty table. Only doc_id and text are read.
@@ -23,13 +24,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loantriad.llm.common import WordHashes, table, window_hashes, words_of
+from loantriad.llm.common import WordHashes, beside, row_by_row, table, window_hashes, words_of
 from loantriad.llm.registry import corpus_query
-from loantriad.session import materialise
+from loantriad.session import drop, materialise, settle
 
 WIDTH = 35
 RUN = 10
 HOT = 1_000
+LONG = 64
+ROW = "_passage_row"
+SPANS = "array<struct<a:int,b:int>>"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,37 +59,40 @@ def _minimisers(width: int, run: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            out = {c: [] for c in ("doc_id", "mark", "starts", "sizes", "minis", "again")}
-            for doc_id, mark, text in zip(frame["doc_id"], frame["mark"], frame["text"]):
+            out = {c: [] for c in (ROW, "starts", "sizes", "minis", "again")}
+            for number, text in zip(frame[ROW], frame["text"]):
                 words = words_of(text)
                 n = len(words) - width + 1
                 if n <= 0:
                     continue
                 starts, minis, again = super_kmers(hashes.of(words), width, run)
-                row = (doc_id, mark, starts.astype(np.int32), np.diff(starts, append=n).astype(np.int32), minis.view(np.int64), again)
+                row = (number, starts.astype(np.int32), np.diff(starts, append=n).astype(np.int32), minis.view(np.int64), again)
                 for column, value in zip(out.values(), row):
                     column.append(value)
-            if out["doc_id"]:
-                yield pd.DataFrame(out).astype({"doc_id": "Int64", "mark": "int64"})
+            if out[ROW]:
+                yield pd.DataFrame(out)
 
     return go
 
 
-def _pack(width: int, hot: int):
+def _pack(width: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc_id, mark, text, found in zip(frame["doc_id"], frame["mark"], frame["text"], frame["found"]):
+            for number, text, found in zip(frame[ROW], frame["text"], frame["found"]):
                 words = words_of(text)
                 for f in found:
                     start, size, mini = f["start"], f["size"], f["mini"]
-                    if f["n"] <= hot:
+                    if not f["split"]:
                         packed = b" ".join(words[start:start + size + width - 1])
-                        out.append((doc_id, mark, start, mini, b"", name(packed), packed))
+                        out.append((number, start, mini, b"", name(packed), packed))
                         continue
                     for at in range(start, start + size):
                         window = b" ".join(words[at:at + width])
-                        out.append((doc_id, mark, at, mini, name(window), name(window), window))
+                        out.append((number, at, mini, name(window), name(window), window))
+                        if len(out) >= 20_000:
+                            yield _frame(out)
+                            out = []
                 if len(out) >= 20_000:
                     yield _frame(out)
                     out = []
@@ -93,8 +100,8 @@ def _pack(width: int, hot: int):
                 yield _frame(out)
 
     def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "mark", "start", "mini", "sub", "name", "packed"]).astype(
-            {"doc_id": "Int64", "mark": "int64", "start": "int32", "mini": "int64"})
+        return pd.DataFrame(rows, columns=[ROW, "start", "mini", "sub", "name", "packed"]).astype(
+            {ROW: "int64", "start": "int32", "mini": "int64"})
 
     return go
 
@@ -167,34 +174,56 @@ def _count_buckets(width: int):
     return go
 
 
-def find_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT) -> DataFrame:
-    """doc_id, mark (of the text) and the spans of words [a, b) under repeated windows, for every text that has some."""
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    kmers = materialise(marked.mapInPandas(
-        _minimisers(width, run),
-        "doc_id long, mark long, starts array<int>, sizes array<int>, minis array<long>, again array<boolean>"), "super-kmers")
-    each = kmers.select("doc_id", "mark", F.explode(F.arrays_zip("starts", "sizes", "minis", "again")).alias("z")).select(
-        "doc_id", "mark", F.col("z.starts").alias("start"), F.col("z.sizes").alias("size"), F.col("z.minis").alias("mini"),
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for every row, the same in each pass."""
+    return settle(docs, "numbered").withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans come sorted by row and start; overlapping ones become one as they pass, one result a row."""
+    number, spans = None, []
+    for frame in frames:
+        out = []
+        for row, a, b in zip(frame[ROW].tolist(), frame["a"].tolist(), frame["b"].tolist()):
+            if row != number:
+                if spans:
+                    out.append((number, [{"a": x, "b": y} for x, y in spans]))
+                number, spans = row, []
+            if spans and a <= spans[-1][1]:
+                spans[-1] = spans[-1][0], max(b, spans[-1][1])
+            else:
+                spans.append((a, b))
+        yield pd.DataFrame(out, columns=[ROW, "spans"])
+    if spans:
+        yield pd.DataFrame([(number, [{"a": x, "b": y} for x, y in spans])], columns=[ROW, "spans"])
+
+
+def find_repeats(rows: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT) -> DataFrame:
+    """ROW and the spans of words [a, b) under repeated windows (merged, ascending) of every text that has some.
+
+    ``rows``: ROW and text, as ``numbered`` gives them.
+    """
+    rows = rows.select(ROW, "text")
+    kmers = materialise(rows.mapInPandas(
+        _minimisers(width, run), f"{ROW} long, starts array<int>, sizes array<int>, minis array<long>, again array<boolean>"), "super-kmers")
+    each = kmers.select(ROW, F.explode(F.arrays_zip("starts", "sizes", "minis", "again")).alias("z")).select(
+        ROW, F.col("z.starts").alias("start"), F.col("z.sizes").alias("size"), F.col("z.minis").alias("mini"),
         F.col("z.again").alias("again"))
-    again = materialise(
-        each.groupBy("mini").agg(F.count("*").alias("n"), F.max("again").alias("again"))
-        .where("n > 1 or again").select("mini", "n"), "repeated-minimisers")
-    found = each.join(again, "mini").groupBy("doc_id", "mark").agg(
-        F.collect_set(F.struct("start", "size", "mini", "n")).alias("found"))
-    texts = marked.alias("d").join(found.alias("f"), same_row("d", "f")).select("d.*", "f.found")
-    packed = materialise(
-        texts.mapInPandas(_pack(width, hot), "doc_id long, mark long, start int, mini long, sub binary, name binary, packed binary"), "packed")
+    counts = each.groupBy("mini").agg(F.count("*").alias("n"), F.sum("size").alias("windows"), F.max("again").alias("again"))
+    split = (F.col("n") > hot) | (F.col("windows") > LONG * hot)
+    again = materialise(counts.where("n > 1 or again").select("mini", split.alias("split")), "repeated-minimisers")
+    found = each.join(again, "mini").groupBy(ROW).agg(F.collect_list(F.struct("start", "size", "mini", "split")).alias("found"))
+    packed = materialise(rows.join(found, ROW).mapInPandas(
+        _pack(width), f"{ROW} long, start int, mini long, sub binary, name binary, packed binary"), "packed")
+    drop(kmers, again)
     strings = packed.groupBy("mini", "sub", "packed").agg(F.count("*").alias("n"))
     buckets = strings.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
-    repeats = materialise(buckets.mapInPandas(
-        _count_buckets(width), "name binary, spans array<struct<a:int,b:int>>"), "repeats")
-    spans = packed.select("doc_id", "mark", "start", "name").join(repeats, "name").select("doc_id", "mark", "start", F.explode("spans").alias("s"))
-    return spans.groupBy("doc_id", "mark").agg(F.collect_set(
-        F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
-
-
-def same_row(left: str, right: str):
-    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.mark") == F.col(f"{right}.mark"))
+    repeats = materialise(buckets.mapInPandas(_count_buckets(width), f"name binary, spans {SPANS}"), "repeats")
+    spans = packed.select(ROW, "start", "name").join(repeats, "name").select(ROW, "start", F.explode("spans").alias("s"))
+    spans = spans.groupBy(ROW, (F.col("start") + F.col("s.a")).alias("a")).agg(F.max(F.col("start") + F.col("s.b")).alias("b"))
+    merged = materialise(spans.repartition(ROW).sortWithinPartitions(ROW, "a").mapInPandas(_merged, f"{ROW} long, spans {SPANS}"), "spans")
+    drop(packed, repeats)
+    return merged
 
 
 def _kept(text: str | None, spans) -> tuple[int, list[bytes]]:
@@ -203,27 +232,31 @@ def _kept(text: str | None, spans) -> tuple[int, list[bytes]]:
     if spans is None or not len(spans):
         return len(words), words
     out, at = [], 0
-    for a, b in _merge(sorted((s["a"], s["b"]) for s in spans)):
-        out += words[at:a]
-        at = b
+    for span in spans:
+        out += words[at:span["a"]]
+        at = span["b"]
     return len(words), out + words[at:]
 
 
 def with_spans(docs: DataFrame, **how) -> DataFrame:
-    """All columns of ``docs``, and ``spans`` (null if nothing repeats)."""
-    found = find_repeats(docs, **how)
-    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("mark"))
-    return left.alias("l").join(found.alias("r"), same_row("l", "r"), "left").select("l.row", "r.spans")
+    """``row`` (all columns of ``docs``), and ``spans`` (null if nothing repeats)."""
+    rows = numbered(docs.select(F.struct("*").alias("row")))
+    found = find_repeats(rows.select(ROW, F.col("row.text").alias("text")), **how)
+    return rows.join(found, ROW, "left").select("row", "spans")
 
 
 def remove_passages(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with repeated passages cut out of text: such texts become their kept words, joined by one space; others
     stay as they are. Other columns stay; n_chars, if there, is counted anew."""
     names = docs.columns
-    kept = F.udf(lambda text, spans: b" ".join(_kept(text, spans)[1]).decode("utf-8", "replace"), "string")
-    rows = with_spans(docs, **how)
-    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept("row.text", "spans"))
-    out = rows.select("row", text.alias("new"))
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"new": [
+            text if spans is None else b" ".join(_kept(text, spans)[1]).decode("utf-8", "replace")
+            for text, spans in zip(frame["text"], frame["spans"])]})
+
+    rows = with_spans(docs, **how).select("row", F.col("row.text").alias("text"), "spans")
+    out = beside(rows, ["row"], ["text", "spans"], row_by_row(cut), "new string")
     return out.select(*[
         F.col("new").alias("text") if n == "text"
         else F.coalesce(F.length("new"), F.lit(0)).cast(docs.schema[n].dataType).alias(n) if n == "n_chars"
@@ -233,15 +266,14 @@ def remove_passages(docs: DataFrame, **how) -> DataFrame:
 def digests(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
 
-    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [_kept(text, spans) for text, spans in zip(frame["text"], frame["spans"])]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_words": [n for n, _ in found], "n_removed": [n - len(k) for n, k in found],
-                "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for _, k in found]})
+    def go(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [_kept(text, spans) for text, spans in zip(frame["text"], frame["spans"])]
+        return pd.DataFrame({
+            "n_words": [n for n, _ in found], "n_removed": [n - len(k) for n, k in found],
+            "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for _, k in found]})
 
     rows = with_spans(docs.select("doc_id", "text"), **how).select("row.doc_id", "row.text", "spans")
-    return rows.mapInPandas(go, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return beside(rows, ["doc_id"], ["text", "spans"], row_by_row(go), "n_words long, n_removed long, kept_sha256 string")
 
 
 OP4_SQL = """
