@@ -19,12 +19,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantriad.llm.bpe import file_text
-from loantriad.llm.common import table, vocabulary_path
+from loantriad.llm.common import beside, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
-from loantriad.llm.token_files import BATCH_ROWS, library_encoder
+from loantriad.llm.whole_ids import WholeTexts
 from loantriad.session import materialise
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -97,30 +98,31 @@ def best_fit(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, group_r
     groups = max(1, -(-stored.count() // group_rows))
     dealt = rests.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row", ignore_index=True)
-        bins, slots, offsets, final = pack(frame["length"].to_numpy(), capacities)
-        group = frame["group"].iloc[0]
-        return pd.DataFrame({
-            "doc_id": frame["doc_id"], "piece": frame["piece"], "start": frame["start"], "length": frame["length"],
-            "bin": [f"{group}-{b}" for b in bins], "slot": slots, "bin_offset": offsets,
-            "capacity": [final[b] for b in bins]})
+    def run(group: pa.Table) -> pa.Table:  # Arrow: ids beside a null stay whole
+        group = group.sort_by("row")
+        bins, slots, offsets, final = pack(group["length"].to_numpy(), capacities)
+        number = group["group"][0].as_py()
+        return pa.table({
+            **{c: group[c] for c in ("doc_id", "piece", "start", "length")}, "bin": [f"{number}-{b}" for b in bins],
+            "slot": pa.array(slots, pa.int32()), "bin_offset": pa.array(offsets, pa.int64()),
+            "capacity": pa.array([final[b] for b in bins], pa.int32())})
 
-    return whole.unionByName(dealt.groupBy("group").applyInPandas(run, PACKED))
+    return whole.unionByName(dealt.groupBy("group").applyInArrow(run, PACKED))
 
 
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and number of ids, the end id included, of every row."""
     content = docs.sparkSession.sparkContext.broadcast(file_text(path))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = library_encoder(content.value, counts=True)
-        for frame in frames:
-            for at in range(0, len(frame), BATCH_ROWS):  # chunks of few texts in memory at a time
-                part = frame.iloc[at:at + BATCH_ROWS]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [n + 1 for n in counter.batch(part["text"])]})
+    def start():
+        whole = WholeTexts(content.value)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+        def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({"n_tokens": [len(whole.ids([text])[0]) + 1 if text else 1 for text in frame["text"]]})
+
+        return run
+
+    return beside(docs, ["doc_id"], ["text"], start, "n_tokens long")
 
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
