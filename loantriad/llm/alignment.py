@@ -5,7 +5,7 @@ into groups; between two neighbouring ends of either side lies exactly one overl
 
 1. Every task aligns its documents and keeps, for each distinct id pair, the number of its documents that hold it linked.
    Lists of pairs are dealt into ``perfect_hash.BUCKETS`` buckets by hash.
-2. The lists of a bucket are united in two steps (``FAN`` heaps, then one) and a minimal perfect hash is built of its pairs.
+2. The lists of a bucket are united in two steps (heaps of ``FAN`` tasks' lists, then one) and a minimal perfect hash is built of its pairs.
 3. Counts become dense vectors indexed by the hash and are summed the same way, as a tree.
 4. A second pass aligns the documents again and looks the counts up; the key beside each count is compared.
 
@@ -20,6 +20,8 @@ table. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantriad.llm import perfect_hash as ph
 from loantriad.llm.bpe import file_text
-from loantriad.llm.common import beside, table, vocabulary_path
+from loantriad.llm.common import CACHE_WORDS, beside, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
 from loantriad.llm.whole_ids import WholeTexts
 from loantriad.session import materialise, settle
@@ -42,7 +44,13 @@ SHIFT = 16  # bits of an id of the second tokenizer
 
 
 class TwoTokenizers:
-    """Ids and bytes of both sides; A reads a space and the text, B adds that space itself."""
+    """Ids and bytes of both sides; A reads a space and the text, B adds that space itself.
+
+    Neither side has a token that reaches over a space between other signs, so words are encoded one by one and
+    remembered (at most CACHE_WORDS). Texts with other signs, or spaces side by side or at an end, are encoded whole.
+    """
+
+    WHOLE = re.compile(r"  |^ | $|[^\n -~À-ɏ]")
 
     def __init__(self, byte_content: str, piece_model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -56,27 +64,50 @@ class TwoTokenizers:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
         # how an id is written inside a group, and as the last of its side
         self.written = [b"%d" % i + mark for n, marks in ((len(self.bytes_a), (b",", b"|")), (len(self.bytes_b), (b",", b";")))
                         for mark in marks for i in range(n)]
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B; none for texts without tokens."""
-        full = [i for i, t in enumerate(texts) if t]
-        ids_a, ids_b = [[] for _ in texts], [[] for _ in texts]
-        left = self.a.ids([" " + texts[i] for i in full])
-        right = self.b.encode([texts[i] for i in full], num_threads=1) if full else []
-        for i, a, b in zip(full, left, right):
-            whole = (" " + texts[i]).encode("utf-8", "surrogatepass")
-            if b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)):
-                ids_a[i], ids_b[i] = a, b
+    def encoded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of whole texts; none where B's don't give the text back (A's always do, it has all 256 bytes)."""
+        left, right = [], []
+        for text, a, b in zip(texts, self.a.ids([" " + t for t in texts]), self.b.encode(texts, num_threads=1) if texts else ()):
+            same = b"".join(map(self.bytes_b.__getitem__, b)) == (" " + text).encode("utf-8", "surrogatepass")
+            left.append(array("I", a).tobytes() if same else b"")
+            right.append(array("I", b).tobytes() if same else b"")
+        return left, right
+
+    def tokens(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of A and of B as unsigned 32-bit bytes; none for texts without tokens."""
+        whole = [i for i, t in enumerate(texts) if t and (not self.apart or self.WHOLE.search(t))]
+        alone = set(whole)
+        split = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in alone}
+        new = set().union(*split.values()) - self.known_b.keys()
+        if len(self.known_b) + len(new) > CACHE_WORDS:
+            self.known_a, self.known_b, new = {}, {}, set().union(*split.values())
+        words = list(new)
+        left, right = self.encoded(words)
+        self.known_a.update(zip(words, left))
+        self.known_b.update(zip(words, right))
+        ids_a, ids_b = [b""] * len(texts), [b""] * len(texts)
+        for i, ws in split.items():
+            found = list(map(self.known_b.__getitem__, ws))
+            if b"" in found:
+                whole.append(i)
+            else:
+                ids_a[i], ids_b[i] = b"".join(map(self.known_a.__getitem__, ws)), b"".join(found)
+        for i, a, b in zip(whole, *self.encoded([texts[i] for i in whole])):
+            ids_a[i], ids_b[i] = a, b
         return ids_a, ids_b
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, and where each list begins."""
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(bounds[-1])), bounds
+def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and where each text's begin."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+    return np.frombuffer(b"".join(ids), "<u4").astype(np.int64), bounds
 
 
 class Alignment:
@@ -99,8 +130,8 @@ class Alignment:
         self.keys = self.a[at_a] << SHIFT | self.b[at_b]
         text_ends = np.concatenate([[0], self.ends_a])[self.from_a]
         self.from_link = np.searchsorted(ends, text_ends, side="right")
-        self.common = ends[flags == 3]
-        self.from_group = np.searchsorted(self.common, text_ends, side="right")
+        self.closes_a, self.closes_b = marks[self.ends_a] == 3, marks[self.ends_b] == 3  # last token of its group
+        self.from_group = np.searchsorted(ends[flags == 3], text_ends, side="right")
 
     def text_of_link(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.from_link) - 1), np.diff(self.from_link))
@@ -108,15 +139,13 @@ class Alignment:
     def written(self, tokenizers: TwoTokenizers) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
         n_a, n_b = len(tokenizers.bytes_a), len(tokenizers.bytes_b)
-        group_a, group_b = np.searchsorted(self.common, self.ends_a), np.searchsorted(self.common, self.ends_b)
-        last_a = np.searchsorted(self.ends_a, self.common)  # last token of each group
-        last_b = np.searchsorted(self.ends_b, self.common)
-        codes_a, codes_b = self.a.copy(), self.b + 2 * n_a
-        codes_a[last_a] += n_a
-        codes_b[last_b] += n_b
-        codes = np.empty(len(codes_a) + len(codes_b), np.int64)
-        codes[np.arange(len(codes_a)) + np.concatenate([[0], last_b + 1])[group_a]] = codes_a
-        codes[np.arange(len(codes_b)) + (last_a + 1)[group_b] if len(last_a) else np.empty(0, np.int64)] = codes_b
+        group_a = np.cumsum(self.closes_a) - self.closes_a
+        group_b = np.cumsum(self.closes_b) - self.closes_b
+        before_b = np.concatenate([[0], 1 + np.flatnonzero(self.closes_b)])  # tokens of B in earlier groups
+        upto_a = 1 + np.flatnonzero(self.closes_a)  # tokens of A in this group and earlier ones
+        codes = np.empty(len(self.a) + len(self.b), np.int64)
+        codes[np.arange(len(self.a)) + before_b[group_a]] = self.a + n_a * self.closes_a
+        codes[np.arange(len(self.b)) + upto_a[group_b]] = self.b + (2 * n_a + n_b * self.closes_b)
         parts = list(map(tokenizers.written.__getitem__, codes.tolist()))
         cuts = (self.from_a + self.from_b).tolist()
         return [b"".join(parts[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
@@ -215,7 +244,7 @@ def hash_rows(lists: DataFrame) -> DataFrame:
         sizes, maps, keys = ph.build(_united(frame))
         return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "n": [len(keys)], "sizes": [sizes], "maps": [maps], "keys": [keys.tobytes()]})
 
-    heaps = lists.select("bucket", F.pmod("part", F.lit(FAN)).alias("heap"), "keys").groupBy("bucket", "heap").applyInPandas(unite, "bucket int, keys binary")
+    heaps = lists.select("bucket", F.floor(F.col("part") / FAN).alias("heap"), "keys").groupBy("bucket", "heap").applyInPandas(unite, "bucket int, keys binary")
     return heaps.groupBy("bucket").applyInPandas(hashed, "bucket int, n int, sizes array<int>, maps binary, keys binary")
 
 
@@ -254,7 +283,7 @@ def count_vectors(lists: DataFrame, hashed: ph.PerfectHash, buckets: list[int])
         return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "vector": [total.tobytes()]})
 
     schema = "bucket int, vector binary"
-    heaped = lists.where(F.col("bucket").isin(buckets)).withColumn("heap", F.pmod("part", F.lit(FAN)))
+    heaped = lists.where(F.col("bucket").isin(buckets)).withColumn("heap", F.floor(F.col("part") / FAN))
     return heaped.groupBy("bucket", "heap").applyInPandas(dense, schema).groupBy("bucket").applyInPandas(summed, schema)
 
 

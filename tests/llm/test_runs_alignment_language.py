@@ -112,13 +112,35 @@ def test_whole_ids_are_the_librarys(as_text):
     assert whole.ids(texts) == [e.ids for e in whole.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_piece_words_are_the_librarys():
+    with open(PIECES, "rb") as f:
+        both = alignment.TwoTokenizers(file_text(BYTES), f.read())
+    assert both.apart
+    draw = random.Random(7)
+    letters = [chr(i) for i in range(0x260)] + [" "] * 200 + ["\n", "the", "é", "▁", "你", "<0x41>", "<s>", "tion"] * 20
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3_000)]
+    plain = [" ".join(t.split()) for t in texts] + ["".join(c for c in t if c < "~") for t in texts]
+    for batch in (texts, plain):
+        ids = [both.b.encode(t) if t else [] for t in batch]
+        same = [b"".join(both.bytes_b[i] for i in x) == (" " + t).encode() for x, t in zip(ids, batch)]
+        got_a, got_b = both.tokens(batch)
+        assert got_b == [np.array(x, "<u4").tobytes() if t and s else b"" for x, t, s in zip(ids, batch, same)]
+        full = [i for i, b in enumerate(got_b) if b]
+        for i, e in zip(full, both.a.library.encode_batch([" " + batch[i] for i in full], add_special_tokens=False)):
+            assert got_a[i] == np.array(e.ids, "<u4").tobytes()
+    assert sum(not both.WHOLE.search(t) for t in plain if t) > 500
+
+
 def brute_alignment(texts):
     """Byte by byte: which token of either side covers it."""
     with open(PIECES, "rb") as f:
         both = alignment.TwoTokenizers(file_text(BYTES), f.read())
     facts, counts = [], Counter()
     for text in texts:
-        (a,), (b,) = both.tokens([text])
+        a = both.a.library.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = both.b.encode(text) if text else []
+        if b"".join(both.bytes_b[i] for i in b) != (" " + text).encode() if text else True:
+            a, b = [], []
         over_a = [i for i, x in enumerate(a) for _ in both.bytes_a[x]]
         over_b = [i for i, x in enumerate(b) for _ in both.bytes_b[x]]
         links = [(a[i], b[j]) for i, j in sorted(set(zip(over_a, over_b)))]
@@ -233,3 +255,63 @@ def test_awkward_and_empty_tables(spark):
         assert operator(none).count() == 0
     same = [r for r in alignment.align(docs.where(F.col("doc_id") == 6), BYTES, PIECES).collect()]
     assert same[0] == same[1]
+
+
+def test_large_ids_beside_null(spark):
+    """Ids that a double cannot hold, in one batch with a null, come out as they went in."""
+    from loantriad.llm import bpe, neardup, packing, pages, passages, quality, token_counts, toxicity
+
+
+    ids = [BIG, BIG + 2, BIG + 4, None]
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"own{k} {shared}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), -9.0)
+    for found in (toxicity.score(docs, model), passages.digests(docs), quality.quality(docs, no_labels), bpe.digests(docs, BYTES),
+                  token_counts.token_counts(docs, BYTES), neardup.near_duplicates(docs), packing.packed_documents(docs),
+                  runs.periodic_runs(docs), alignment.align(docs, BYTES, PIECES), language.predict(docs, None)):
+        assert Counter(r.doc_id for r in found.collect()) == Counter(ids)
+    assert {r.n_removed for r in passages.digests(docs).collect()} == {60}
+    html = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>text</p>").alias("html"))
+    assert Counter(r.page_id for r in pages.extract(html).collect()) == Counter(ids)
+
+
+def test_periodic_text_stays_small(spark):
+    """One super-k-mer of all windows is split by window."""
+    from loantriad.llm import passages
+
+    docs = spark.createDataFrame([(1, "same " * 5_000), (2, "other words only")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in passages.digests(docs, hot=20).collect()}
+    assert got == {1: (5_000, 5_000), 2: (3, 0)}
+
+
+def naive_pack(lengths, capacities):
+    """Best fit by looking through all open bins for every piece."""
+    from loantriad.llm import packing
+
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bins, where = [], {}
+    for place, i in enumerate(order):
+        fitting = [(size - sum(lengths[j] for j in held), b) for b, (size, held) in enumerate(bins) if size - sum(lengths[j] for j in held) >= lengths[i]]
+        if fitting:
+            b = min(fitting)[1]
+        else:
+            def price(c):
+                beside = sum(lengths[j] for j in order[place + 1:] if lengths[j] <= c - lengths[i])
+                return packing.cost(c) / max(min(c, lengths[i] + beside), 1)
+            b = len(bins)
+            bins.append((min((c for c in sorted(capacities) if c >= lengths[i]), key=price), []))
+        where[i] = b, len(bins[b][1]), sum(lengths[j] for j in bins[b][1])
+        bins[b][1].append(i)
+    final = [min(c for c in capacities if c >= sum(lengths[j] for j in held)) for _, held in bins]
+    return [where[i] for i in range(len(lengths))], final
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=40))
+def test_packing_equals_naive_packer(lengths):
+    from loantriad.llm import packing
+
+    capacities = (8, 16, 32, 64)
+    bins, slots, offsets, final = packing.pack(lengths, capacities)
+    assert (list(zip(bins.tolist(), slots.tolist(), offsets.tolist())), final) == naive_pack(lengths, capacities)
