@@ -13,6 +13,7 @@ Three tools, by what is asked:
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -134,48 +135,70 @@ def rank_in_strata(
     )
 
 
-def _count_brackets(df: DataFrame, brackets: list[dict]) -> None:
-    """Exact rows below and up to each bracket, written into it. One aggregate for all."""
-    row = df.agg(
-        *[F.count(F.when(k["x"] < k["lo"], 1)).alias(f"b{i}") for i, k in enumerate(brackets)],
-        *[F.count(F.when(k["x"] <= k["hi"], 1)).alias(f"u{i}") for i, k in enumerate(brackets)],
-    ).first()
-    for i, k in enumerate(brackets):
-        k["below"], k["upto"] = row[f"b{i}"], row[f"u{i}"]
+def _bits(x: float) -> int:
+    """Whole numbers in the order of doubles."""
+    n = struct.unpack("<q", struct.pack("<d", x))[0]
+    return n if n >= 0 else -(n & (1 << 63) - 1)
 
 
-def _narrow(df: DataFrame, wide: list[dict], accuracy: int) -> list[dict]:
-    """Brackets around each rank from one sketch per wide bracket; overlapping ones are merged."""
-    slack = [k.get("slack", 4.0 / accuracy) for k in wide]
-    sketches = []
-    for k, room in zip(wide, slack):
+def _value(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n))[0] if n >= 0 else -struct.unpack("<d", struct.pack("<q", -n))[0]
+
+
+def _halves(k: dict) -> list[tuple[float, float, list[int]]]:
+    """The two halves of a bracket's doubles; every rank may lie in either."""
+    middle = _value((_bits(k["lo"]) + _bits(k["hi"])) // 2)
+    return [(k["lo"], middle, k["ranks"]), (math.nextafter(middle, math.inf), k["hi"], k["ranks"])]
+
+
+def _sketched(df: DataFrame, wide: list[dict], accuracy: int) -> list[list[tuple[float, float, list[int]]]]:
+    """Values around each rank from one sketch per bracket; overlapping ranges are merged."""
+    room, sketches = 4.0 / accuracy, []
+    for k in wide:
         spots = [(r - k["below"]) / (k["upto"] - k["below"]) for r in k["ranks"]]
         span = [q for at in spots for q in (max(0.0, at - room), min(1.0, at + room))]
         sketches.append(F.percentile_approx(F.when(k["x"].between(k["lo"], k["hi"]), k["x"]), span, accuracy))
-    row = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(sketches)]).first()
-    fresh: list[dict] = []
-    for i, k in enumerate(wide):
-        marks = iter(row[f"q{i}"])
-        for r in k["ranks"]:
-            lo, hi = next(marks), next(marks)
-            last = fresh[-1] if fresh and fresh[-1]["parent"] is k else None
-            if last and lo <= last["hi"]:
-                last["hi"] = max(last["hi"], hi)
-                last["ranks"].append(r)
+    row = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(sketches)]).first() if wide else []
+    out = []
+    for k, marks in zip(wide, row):
+        found: list[tuple[float, float, list[int]]] = []
+        for r, lo, hi in zip(k["ranks"], marks[::2], marks[1::2]):
+            if found and lo <= found[-1][1]:
+                found[-1] = found[-1][0], max(hi, found[-1][1]), [*found[-1][2], r]
             else:
-                fresh.append({"column": k["column"], "x": k["x"], "lo": lo, "hi": hi, "ranks": [r], "parent": k})
-    _count_brackets(df, fresh)
-    missed: list[dict] = []
-    for k in fresh:
-        out = [r for r in k["ranks"] if not k["below"] < r <= k["upto"]]
-        if out:  # the sketch missed: those ranks try again from the wider bracket, with twice the room
-            missed.append({**k["parent"], "ranks": out, "slack": 2 * k["parent"].get("slack", 4.0 / accuracy)})
-            k["ranks"] = [r for r in k["ranks"] if r not in out]
-        shrunk = (k["lo"], k["hi"]) != (k["parent"]["lo"], k["parent"]["hi"])
-        k["final"] = k["lo"] == k["hi"]
-        if not shrunk and not k["final"]:  # the whole bracket again: a sharper sketch has to split it
-            k["slack"] = k["parent"].get("slack", 4.0 / accuracy) / 4
-    return [k for k in fresh if k["ranks"]] + missed
+                found.append((lo, hi, [r]))
+        out.append(found)
+    return out
+
+
+def _narrow(df: DataFrame, wide: list[dict], accuracy: int) -> list[dict]:
+    """Narrower brackets for the ranks of wide ones.
+
+    A sketch says where a rank lies, one exact count checks it. The values at both ends of a range are cut out by exact
+    counts, so a hot value becomes a bracket of its own. A bracket that the sketch missed, or that kept more than half of its
+    rows, is next cut in half by value. So a round halves either the rows or the doubles of a bracket, and rounds end after
+    64 and the logarithm of the rows at most.
+    """
+    parts = dict(zip((id(k) for k in wide if not k["halve"]), _sketched(df, [k for k in wide if not k["halve"]], accuracy)))
+    tried = [(k, *part) for k in wide for part in (_halves(k) if k["halve"] else parts[id(k)])]
+    row = df.agg(*[F.count(F.when(test, 1)).alias(f"c{i}_{j}") for i, (k, lo, hi, _) in enumerate(tried)
+                   for j, test in enumerate((k["x"] < lo, k["x"] <= lo, k["x"] < hi, k["x"] <= hi))]).first()
+    out: list[dict] = []
+    found: dict[int, set[int]] = {id(k): set() for k in wide}
+    for i, (k, lo, hi, ranks) in enumerate(tried):
+        below, with_lo, before_hi, upto = row[4 * i:4 * i + 4]
+        inner_lo, inner_hi = math.nextafter(lo, math.inf), math.nextafter(hi, -math.inf)
+        for low, high, rows_before, rows_upto in ((lo, lo, below, with_lo), (inner_lo, inner_hi, with_lo, before_hi), (hi, hi, max(before_hi, with_lo), upto)):
+            inside = [r for r in ranks if rows_before < r <= rows_upto and r not in found[id(k)]]
+            if inside:
+                found[id(k)].update(inside)
+                out.append({"column": k["column"], "x": k["x"], "lo": low, "hi": high, "below": rows_before, "upto": rows_upto,
+                            "ranks": inside, "halve": 2 * (rows_upto - rows_before) > k["upto"] - k["below"]})
+    for k in wide:
+        missed = [r for r in k["ranks"] if r not in found[id(k)]]
+        if missed:
+            out.append({**k, "ranks": missed, "halve": True})
+    return out
 
 
 def order_statistics(
@@ -183,8 +206,8 @@ def order_statistics(
 ) -> dict[str, dict[int, float]]:
     """Exact value at each 1-based rank of each numeric column (NULL and NaN ignored).
 
-    Brackets are narrowed by sketches of what is inside them until at most ``most`` rows or one value
-    are left, so the sorted rest stays small at any table size. Driver work: a few numbers per rank.
+    Brackets are narrowed (see ``_narrow``) until at most ``most`` rows or one value are left, so the sorted rest stays
+    small at any table size. Driver work: a few numbers per rank.
     """
     wanted = {c: sorted(set(rs)) for c, rs in ranks.items() if rs}
     if not wanted:
@@ -197,11 +220,11 @@ def order_statistics(
         if rs[0] < 1 or rs[-1] > sizes[c]:
             raise ValueError(f"ranks {rs[0]}..{rs[-1]} outside 1..{sizes[c]} of {c}")
     brackets = [
-        {"column": c, "x": x[c], "lo": -math.inf, "hi": math.inf, "below": 0, "upto": sizes[c], "ranks": rs, "final": False}
+        {"column": c, "x": x[c], "lo": -math.inf, "hi": math.inf, "below": 0, "upto": sizes[c], "ranks": rs, "halve": False}
         for c, rs in wanted.items()
     ]
     while True:
-        wide = [k for k in brackets if not k["final"] and k["upto"] - k["below"] > most]
+        wide = [k for k in brackets if k["lo"] < k["hi"] and k["upto"] - k["below"] > most]
         if not wide:
             break
         brackets = [k for k in brackets if not any(k is w for w in wide)] + _narrow(df, wide, accuracy)

@@ -273,3 +273,23 @@ def test_csv_folder_ignores_other_files(spark, tmp_path):
 
 def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("values", [
+    "case when id % 10 < 6 then 0.0 else id / 1e5 end",  # a hot value beside the wanted rank
+    "cast(id % 2 as double)", "0.5", "case when id % 3 = 0 then -1e300 when id % 3 = 1 then 1e-300 else cast(id as double) end",
+    "case when id % 7 = 0 then null when id % 7 = 1 then double('nan') else -1.0 * (id % 1000) end",
+])
+def test_order_statistics_end(spark, values, monkeypatch):
+    """Equal to a sort, in a bounded number of rounds, whatever values are frequent."""
+    from loantriad.operators import ranks
+
+    rounds, narrow = [], ranks._narrow
+    monkeypatch.setattr(ranks, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    df = spark.range(60_000).select(F.expr(values).cast("double").alias("x"))
+    plain = sorted(r.x for r in df.collect() if r.x is not None and r.x == r.x)
+    n = len(plain)
+    wanted = sorted({1, 2, n // 4, n // 2, n // 2 + 1, 6 * n // 10, 6 * n // 10 + 1, n - 1, n})
+    got = ranks.order_statistics(df, {"x": wanted}, accuracy=100, most=50)["x"]
+    assert got == {r: plain[r - 1] for r in wanted}
+    assert len(rounds) <= 64 + 17
