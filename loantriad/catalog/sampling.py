@@ -193,7 +193,7 @@ def jn4(spark, folder):
     from loantriad.operators import search as sr
     from loantriad.operators.threeway import loss_columns
 
-    return sr.objectives(loss_columns(labelled_loans(spark, folder)), sr.grid(4)).select("u", "v", "fp", "n")
+    return sr.objectives(loss_columns(labelled_loans(spark, folder)), sr.grid(4, 0.0)).select("u", "v", "fp", "n")
 
 
 @query(

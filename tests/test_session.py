@@ -12,19 +12,26 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SCRIPT = f"""
 import sys
 sys.path.insert(0, {ROOT!r})
-import __spark_entry__ as entry
 from loantriad.session import build_session
-spark = build_session("ship", "local-cluster[1,1,1024]", **{{"spark.checkpoint.dir": sys.argv[1], "spark.sql.shuffle.partitions": "2"}})
-print("rows", entry.queries()["jn6_nearest_neighbours"](spark, "/root/testdata/sf0.001").limit(3).count())
+spark = build_session("ship", "local[1]", **{{"spark.sql.shuffle.partitions": "2", "spark.python.worker.reuse": "false"}})
+sys.path.remove({ROOT!r})
+
+def where(frames):
+    import loantriad.operators.ranks as module
+    for frame in frames:
+        yield frame.assign(path=module.__file__)
+
+found = spark.range(3).mapInPandas(where, "id long, path string").collect()
+print("shipped", len(found), all(".zip" in r.path for r in found))
 spark.stop()
 """
 
 
-def test_executors_can_import_the_package(tmp_path):
-    """From another folder, without PYTHONPATH, on an executor of its own."""
+def test_tasks_import_the_shipped_package(tmp_path):
+    """From another folder, without PYTHONPATH: Python workers read the archive that the session sent."""
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", SCRIPT, str(tmp_path / "shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "rows 3" in done.stdout, done.stderr[-3000:]
+    done = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "shipped 3 True" in done.stdout, done.stderr[-3000:]
 
 
 def test_scratch_tables_go(spark, tmp_path):
