@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from loantriad.functions.dates import days_since_origin
 from loantriad.models.ensembles import BaggingClassifier, StackingClassifier
+from loantriad.models.histograms import HistogramForest, eliminate_together
 from loantriad.models.learners import Learner, area, assemble, decision_tree, gradient_boosting, importances, logistic, score
 from loantriad.models.selection import eliminate_features, train_and_evaluate
 from loantriad.operators import search as sr
@@ -37,9 +40,10 @@ class Settings:
     boundary_tree: Learner = lambda: decision_tree(weight="copies")
     boundary_bags: int = 10
     balance: bool = True
-    resolver: str = "bagging"  # or "stacking"
+    resolver: str = "bagging"  # or "forest" (bags grown together), or "stacking"
     stacked: dict[str, Learner] = field(default_factory=lambda: {"tree": lambda: decision_tree(depth=5), "logistic": lambda: logistic(100)})
     eliminate: Learner | None = None
+    together: bool = False  # eliminate by forests that grow on all inner folds at once
     protected: tuple[str, ...] = ()
     eps: float = sr.STRICT
     steps: int = 20
@@ -58,14 +62,18 @@ def resolver(cfg: Settings, names: list[str]) -> Estimator:
         return BaggingClassifier(cfg.boundary_tree, names, "loan_id", cfg.boundary_bags)
     if cfg.resolver == "stacking":
         return StackingClassifier(cfg.stacked, names, "loan_id", folds=cfg.folds)
-    raise ValueError("resolver must be bagging or stacking")
+    if cfg.resolver == "forest":
+        return HistogramForest(cfg.boundary_bags)
+    raise ValueError("resolver must be bagging, forest or stacking")
 
 
 def run_fold(data: DataFrame, fold: int, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     """(metrics row, feature importances) of one fold. Losses always come from the loan's own row."""
     train, test = fold_rows(data, fold)
     names = cfg.features
-    if cfg.eliminate is not None:
+    if cfg.together:
+        names = eliminate_together(train, "loan_id", names, cfg.folds, protected=cfg.protected)[0]
+    elif cfg.eliminate is not None:
         names = eliminate_features(train, "loan_id", names, cfg.eliminate, cfg.folds, protected=cfg.protected).chosen
     fitted_on = train.select("loan_id", "y", *names)
     if cfg.balance:
@@ -76,7 +84,7 @@ def run_fold(data: DataFrame, fold: int, cfg: Settings) -> tuple[DataFrame, Data
     _, (u, v) = sr.search(scored, cfg.steps, cfg.rounds, cfg.rule, cfg.eps, p="prob")
     decided = tw.decide(scored, u, v, p="prob")
     unsure = decided.where(F.col("region") == "BND").drop("prob")
-    second = resolver(cfg, names).fit(train).transform(unsure).select("loan_id", "pred")
+    second = resolver(cfg, names).fit(assemble(train, names)).transform(assemble(unsure, names)).select("loan_id", "pred")
 
     before = tw.realised_cost(F.col("region"), F.col("y"), F.col("lam_pn"), F.col("lam_np"), F.lit(u), F.lit(v))
     final = tw.resolve_boundary(decided, second).withColumns({"before": before, "pred": F.col("final_pred")})
@@ -94,10 +102,15 @@ def run_fold(data: DataFrame, fold: int, cfg: Settings) -> tuple[DataFrame, Data
 
 
 def cross_validated(data: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """Metrics and importances of every fold. ``data`` has loan_id, y, fold, lam_pn, lam_np and the features."""
+    """Metrics and importances of every fold. ``data`` has loan_id, y, fold, lam_pn, lam_np and the features.
+
+    Folds are independent and mostly wait for small jobs, so they run side by side.
+    """
     rows, weights = None, None
-    for fold in range(cfg.folds):
-        row, weight = run_fold(data, fold, cfg)
+    one = inheritable_thread_target(data.sparkSession)(lambda fold: run_fold(data, fold, cfg))
+    with ThreadPool(cfg.folds) as pool:
+        found = pool.map(one, range(cfg.folds))
+    for row, weight in found:
         rows = row if rows is None else rows.unionByName(row)
         weights = weight if weights is None else weights.unionByName(weight)
     return materialise(rows, "folds"), weights

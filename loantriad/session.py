@@ -110,6 +110,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether a table of ``materialise`` is still there."""
+    return df._loantriad_path in _stored(df.sparkSession)
+
+
 def drop(*stored: DataFrame) -> None:
     """Delete tables that ``materialise`` stored, once all that was made of them is stored itself."""
     for df in stored:

@@ -93,8 +93,23 @@ def test_flow(spark, folder):
     assert table["Logistic"].recall is None and table["Proposed"].recall is not None
 
 
-def test_flow_queries_run_the_reference_settings():
+def test_flow_settings():
     from loantriad.catalog import modelling
 
-    cfg = modelling.full_settings()
-    assert (cfg.folds, cfg.boundary_bags, cfg.steps, cfg.balance) == (5, 10, 20, True) and cfg.eliminate is not None
+    cfg = modelling.flow_settings()
+    assert (cfg.folds, cfg.boundary_bags, cfg.steps, cfg.balance, cfg.together, cfg.resolver) == (5, 10, 20, True, True, "forest")
+
+
+def test_flow_queries_share_one_result(spark, folder, monkeypatch):
+    """Three folds of small models end to end; the second query reads what the first stored."""
+    from loantriad.catalog import modelling
+
+    runs, made = [], cf.cross_validated
+    small = cf.Settings(risk=lambda: le.gradient_boosting(2, 0.3, 3), together=True, resolver="forest", boundary_bags=3, folds=3, steps=8)
+    monkeypatch.setattr(modelling, "flow_settings", lambda: small)
+    monkeypatch.setattr(cf, "cross_validated", lambda *a: runs.append(1) or made(*a))
+    spark.sparkContext.__dict__.pop("_loantriad_flows", None)
+    rows = modelling.flow(spark, folder).collect()
+    assert sorted(r.fold for r in rows) == [0, 1, 2] and all(r.tp + r.tn + r.fp + r.fn > 0 for r in rows)
+    assert modelling.flow_summary(spark, folder).count() == 11 and runs == [1]
+    spark.sparkContext.__dict__.pop("_loantriad_flows", None)
