@@ -1,6 +1,6 @@
 """Token ids in ORC: stripes of run-length encoded integers, row indexes and Bloom filters on document ids.
 
-Documents are dealt into ranges of doc_id and sorted inside, each range encoded in order and written as one file or
+Documents are dealt into ranges of doc_id (and, for one id, of beginnings of texts) and sorted inside, each range encoded in order and written as one file or
 more. A row holds doc_id, the range's number, the ids of the range before the row, their count and the ids (ORC packs
 integers by run length itself). Files are split by stripe for parallel reads; doc_id has min / max statistics per
 stripe and per ``ROW_INDEX`` rows and a Bloom filter, so a lookup by id skips most stripes without decoding them.
@@ -98,7 +98,9 @@ ROWS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 def encode_sorted(docs: DataFrame, path: str) -> DataFrame:
     """ROWS in ascending doc_id order within and between partitions."""
     content = docs.sparkSession.sparkContext.broadcast(file_text(path))  # a vocabulary file
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one hot id are spread by how their texts begin, which is in the order of the texts
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64))
+    sorted_docs = ranged.sortWithinPartitions("doc_id", "text")
     end = int(END_ID).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
