@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loantriad.operators.ranks import global_index
@@ -55,3 +56,25 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, limit: i
     rest = [c for c in df.columns if c not in columns]
     made = [d for c in columns for d in dummy_columns(c, categories(df, c, limit), drop_first)]
     return df.select(*rest, *made)
+
+
+def one_hot_vector(df: DataFrame, columns: list[str], numbers: list[str] = (), out: str = "features") -> DataFrame:
+    """Vector of ``numbers`` and the 0/1 entries of ``one_hot``, without a column per value and without a limit of values.
+
+    Entries follow the sorted values of one column after the other, the first value dropped; NULL is all zeros. Rows hold
+    only what is not zero. ``numbers`` must not be missing.
+    """
+    codes = [f"_code_{i}" for i in range(len(columns))]
+    hots = [f"_hot_{i}" for i in range(len(columns))]
+    coded = encode_labels(df.withColumns(dict(zip(codes, map(F.col, columns)))), codes, None)
+    sizes = coded.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in codes]).first() if codes else {}
+    # the encoder drops the last place, so what has no entry (NULL and the first value) goes there
+    placed = coded.withColumns({c: F.when(F.col(c) >= 1, F.col(c) - 1).otherwise(sizes[c]).cast("double") for c in codes})
+    wide = [(c, h) for c, h in zip(codes, hots) if sizes[c] > 0]
+    if wide:
+        # fitted on one row per column, since the largest place is known
+        most = df.sparkSession.createDataFrame([tuple(float(sizes[c]) for c, _ in wide)], ", ".join(f"{c} double" for c, _ in wide))
+        placed = OneHotEncoder(inputCols=[c for c, _ in wide], outputCols=[h for _, h in wide]).fit(most).transform(placed)
+    typed = placed.withColumns({f"_number_{i}": F.col(c).cast("double") for i, c in enumerate(numbers)})
+    inputs = [*[f"_number_{i}" for i in range(len(numbers))], *[h for _, h in wide]]
+    return VectorAssembler(inputCols=inputs, outputCol=out).transform(typed).select(*df.columns, out)

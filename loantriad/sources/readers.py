@@ -6,6 +6,7 @@ from loantriad.functions.parsing import cut
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loantriad.functions import parsing as ps
+from loantriad.sources.records import parse_records, read_records
 from loantriad.sources.schemas import BANK, MARKETPLACE
 
 
@@ -34,21 +35,23 @@ def read_positional_csv(
 ) -> DataFrame:
     """Every ``*.csv`` directly in ``folder``. Cells go to columns by position; the header is skipped.
 
-    Short rows end in NULLs, extra cells are dropped, cells that do not parse are NULL. A file that may
-    hold quoted line breaks cannot be split, so it is one task; pass ``line_breaks=False`` for large files
-    known to have none.
+    Short rows end in NULLs, extra cells are dropped, cells that do not parse are NULL. Large files are read by
+    many tasks, also where quoted cells hold line breaks (``sources.records``, two passes); ``line_breaks=False``
+    saves the first pass for files known to have none.
     """
     raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-    cells = (
-        spark.read.schema(raw)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", line_breaks)
-        .option("escape", '"')
-        .option("pathGlobFilter", "*.csv")
-        .csv(folder)
-    )
+    if line_breaks:
+        cells = parse_records(read_records(spark, folder), raw)
+    else:
+        cells = (
+            spark.read.schema(raw)
+            .option("header", True)
+            .option("enforceSchema", True)
+            .option("mode", "PERMISSIVE")
+            .option("escape", '"')
+            .option("pathGlobFilter", "*.csv")
+            .csv(folder)
+        )
     return cells.select(
         *[_cell(F.col(f"c{i}"), kind, month_dates, lenient).alias(name) for i, (name, kind) in enumerate(columns)]
     )
