@@ -202,6 +202,22 @@ def enc3(spark, folder):
     return en.one_hot(loans(spark, folder).select("loan_id", "status"), ["status"])
 
 
+@query(
+    "enc3_one_hot_vector",
+    """, a as (select v, row_number() over (order by v) - 2 as place from (select distinct customer_id::varchar as v from loans)),
+    b as (select v, (select count(*) from a) - 1 + row_number() over (order by v) - 2 as place, row_number() over (order by v) as k
+        from (select distinct status as v from loans where status is not null))
+    select loan_id, concat_ws(',', case when a.place >= 0 then a.place + 1 end, case when b.k > 1 then b.place + 1 end) as places
+    from loans join a on a.v = customer_id::varchar left join b on b.v = status""",
+    loans=True,
+)
+def enc3_vector(spark, folder):
+    """A place for every customer and status behind one number that is zero; the places that are filled."""
+    df = loans(spark, folder).select("loan_id", "customer_id", "status", F.lit(0.0).alias("zero"))
+    out = en.one_hot_vector(df, ["customer_id", "status"], ["zero"])
+    return out.select("loan_id", F.array_join(en.filled_places("features"), ",").alias("places"))
+
+
 @query(
     "enc4_nominal_index",
     """, c as (select v, row_number() over (order by v) - 1 as code from (select distinct status as v from loans where status is not null))

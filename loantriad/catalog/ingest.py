@@ -12,6 +12,7 @@ from loantriad.functions import parsing as ps
 from loantriad.operators import filters as fl
 from loantriad.plans.loans import loans, table
 from loantriad.session import scratch_path
+from loantriad.sources import batches as ba
 from loantriad.sources import readers as rd
 from loantriad.sources import writers as wr
 from loantriad.sources.schemas import BANK, FEATURE_METADATA_SCHEMA, MARKETPLACE
@@ -187,6 +188,27 @@ def snk2(spark, folder):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@query("snk2_repeated_batch", "select loan_id, loan_amount from loans", loans=True)
+def snk2_repeated(spark, folder):
+    """The second batch is sent twice and appears once."""
+    root = scratch_path(spark, "batches")
+    df = loans(spark, folder).select("loan_id", "loan_amount")
+    for name, rest in (("even", 0), ("odd", 1), ("odd", 1)):
+        ba.commit_batch(df.where(F.col("loan_id") % 2 == rest), root, name)
+    return ba.read_batches(spark, root, "loan_id bigint, loan_amount double")
+
+
+@query("snk3_replaced_batch", "select loan_id, loan_amount from loans where loan_id % 3 <> 0", loans=True)
+def snk3_replaced(spark, folder):
+    """A whole table, replaced by a third of it, then a batch more."""
+    root = scratch_path(spark, "batches")
+    df = loans(spark, folder).select("loan_id", "loan_amount")
+    ba.commit_batch(df, root, "all")
+    ba.commit_batch(df.where("loan_id % 3 = 1"), root, "first", "replace")
+    ba.commit_batch(df.where("loan_id % 3 = 2"), root, "second")
+    return ba.read_batches(spark, root, "loan_id bigint, loan_amount double")
+
+
 @query("snk3_replace", "select loan_id, status, 0 as is_synthetic from loans where loan_amount > 100000", loans=True)
 def snk3(spark, folder):
     path = scratch_path(spark, "target")

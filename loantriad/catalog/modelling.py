@@ -7,15 +7,18 @@ tests. Votes, cost-sensitive decisions and neighbour classes are checked with SQ
 from __future__ import annotations
 
 from pyspark.ml import Estimator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from loantriad.catalog.registry import query
 from loantriad.models import ensembles as es
 from loantriad.models import histograms as hi
 from loantriad.models import learners as le
+from loantriad.models import machines as ma
 from loantriad.models import selection as se
 from loantriad.operators import threeway as tw
 from loantriad.operators.evaluate import class_counts, fold_summary, importance_summary
+from loantriad.operators.sampling import train_test_split
 from loantriad.plans import credit_flow as cf
 from loantriad.plans.loans import loans, table
 from loantriad.session import is_stored, materialise
@@ -70,18 +73,34 @@ def ml5(spark, folder):
     return report(spark, folder, le.linear_svm())
 
 
+def vector_classes(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Vectors of ten classes, four fifths to learn from."""
+    data = table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("y"), "embedding")
+    data = data.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).drop("embedding")
+    return train_test_split(data, "vec_id", 0.2)
+
+
+def class_report(model: Estimator, parts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    scored = model.fit(parts[0]).transform(parts[1])
+    return class_counts(scored.withColumn("pred", F.col("prediction").cast("int")), "y", "pred")
+
+
 @query("ml5_linear_svm_classes")
 def ml5_classes(spark, folder):
     """Ten classes of vectors, one machine per class."""
-    data = table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("y"), "embedding")
-    from pyspark.ml.functions import array_to_vector
+    return class_report(le.linear_svm(many_classes=True), vector_classes(spark, folder))
 
-    data = data.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).drop("embedding")
-    from loantriad.operators.sampling import train_test_split
 
-    train, test = train_test_split(data, "vec_id", 0.2)
-    scored = le.linear_svm(many_classes=True).fit(train).transform(test)
-    return class_counts(scored.withColumn("pred", F.col("prediction").cast("int")), "y", "pred")
+@query("ml5_pairwise_machines")
+def ml5_pairwise(spark, folder):
+    """Ten classes of vectors, one machine per pair of classes."""
+    return class_report(ma.PairwiseMachines(), vector_classes(spark, folder))
+
+
+@query("ml5_radial_machine")
+def ml5_radial(spark, folder):
+    """A radial kernel by 200 random Fourier features."""
+    return report(spark, folder, ma.RadialMachine())
 
 
 @query("ml6_gaussian_bayes")

@@ -130,6 +130,29 @@ def smp6(spark, folder):
     return shape.join(real, "y").select("y", "is_synthetic", "n", inside.alias("inside"))
 
 
+@query(
+    "smp6_smote_rows",
+    f""", c as (select y, count(*) as n from scored group by y),
+    w as (select y, n, (select max(n) from c) - n as missing from c where n < (select max(n) from c)),
+    m as (select s.loan_id, s.y, s.loan_amount::double as a, s.loan_rate::double as r, s.installment_number::double as i,
+        missing // n + (row_number() over (partition by s.y order by {shuffled('s.loan_id')}) <= missing % n)::int as draws
+        from scored s join w using (y)),
+    p as (select q.loan_id, min({{'d': (q.a - d.a) * (q.a - d.a) + (q.r - d.r) * (q.r - d.r) + (q.i - d.i) * (q.i - d.i), 'id': d.loan_id,
+            'a': d.a, 'r': d.r, 'i': d.i}}, 5) as near
+        from m q join m d on d.y = q.y and d.loan_id <> q.loan_id group by 1),
+    t as (select m.*, near, unnest(range(1, draws + 1)) as draw from m join p using (loan_id)),
+    g as (select *, {uniform("(loan_id || ':' || draw)", '42:gap')} as gap,
+        near[(floor({uniform("(loan_id || ':' || draw)", '42:pick')} * 5) + 1)::int] as o from t)
+    select y, round(a + gap * (o.a - a), 4) as loan_amount, round(r + gap * (o.r - r), 6) as loan_rate, round(i + gap * (o.i - i), 6) as installment_number from g""",
+    loans=True,
+)
+def smp6_rows(spark, folder):
+    """Every new row: which base, which of its five neighbours and how far between them all follow from the loan's id."""
+    names = ["loan_amount", "loan_rate", "installment_number"]
+    out = ne.smote(labelled_loans(spark, folder).select("loan_id", "y", *names), "loan_id", "y", names, 5)
+    return out.where("is_synthetic = 1").select("y", F.round("loan_amount", 4).alias("loan_amount"), *[F.round(c, 6).alias(c) for c in names[1:]])
+
+
 LIMITS = sa.poisson_limits(0.8)
 COPIES = "(" + " + ".join(f"({uniform('loan_id', '42:bag3')} >= {x!r}::double)::int" for x in LIMITS) + ")"
 

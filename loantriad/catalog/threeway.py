@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantriad.catalog.registry import query
+from loantriad.operators import certify as ce
 from loantriad.operators import search as sr
 from loantriad.operators import threeway as tw
 from loantriad.session import settle
@@ -290,6 +291,14 @@ def twd9_zoom(spark, folder):
     return sr.front(spark.createDataFrame(rows, coarse.schema).unionByName(finer)).select("u", "v", "f1", "f2")
 
 
+@query("twd9_certified_search")
+def twd9_certified(spark, folder):
+    """Least cost with at most a tenth of the loans in the boundary, and the bound that no choice can beat."""
+    found = ce.certified_search(priced(spark, folder), 0.1, 0.01)
+    row = (found.u, found.v, found.cost, found.boundary, found.lower, found.passes, found.open_boxes)
+    return spark.createDataFrame([row], "u double, v double, cost double, boundary bigint, lower double, passes int, open_boxes int")
+
+
 HOLES = {"p_default": "loan_id % 7 = 0", "lam_pn": "loan_id % 11 = 0", "lam_np": "loan_id % 13 = 0", "y": "loan_id % 5 = 0"}
 
 

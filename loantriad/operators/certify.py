@@ -23,7 +23,10 @@ Box = tuple[float, float, float, float]
 
 @dataclass(frozen=True)
 class Certificate:
-    """The best choice found and what no choice can beat; ``open_boxes`` 0 and a small ``gap`` make it final."""
+    """The best choice found and what no choice can beat; ``open_boxes`` 0 makes it final.
+
+    No choice found: ``u``, ``v`` and ``boundary`` are None and the cost is infinite; with an infinite ``lower`` there is none.
+    """
 
     u: float | None
     v: float | None
@@ -35,7 +38,7 @@ class Certificate:
 
     @property
     def gap(self) -> float:
-        return self.cost - self.lower
+        return 0.0 if self.cost == self.lower else self.cost - self.lower
 
 
 def _limits(pn, np_, u, v):
@@ -62,8 +65,8 @@ def _bound(p, pn, np_, y, box: Box):
     alpha_high, beta_low = _limits(pn, np_, u0, v0)
     alpha_low, beta_high = _limits(pn, np_, u1, v1)
     odd = (pn < 0) | (np_ < 0)
-    # at zero losses the guards of the thresholds jump, so those loans are bounded freely as well
-    odd |= (pn == 0) | (np_ == 0)
+    # where one loss is zero, a threshold's guard jumps within the box; where both are, the thresholds stay 1 and 0
+    odd |= (pn == 0) ^ (np_ == 0)
     # rounding may turn the order of two nearly equal thresholds
     slack = 1e-12
     may_pos = (p >= alpha_low - slack) | odd

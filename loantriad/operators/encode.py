@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loantriad.operators.ranks import global_index
 from loantriad.session import small_side
@@ -61,8 +61,8 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, limit: i
 def one_hot_vector(df: DataFrame, columns: list[str], numbers: list[str] = (), out: str = "features") -> DataFrame:
     """Vector of ``numbers`` and the 0/1 entries of ``one_hot``, without a column per value and without a limit of values.
 
-    Entries follow the sorted values of one column after the other, the first value dropped; NULL is all zeros. Rows hold
-    only what is not zero. ``numbers`` must not be missing.
+    Entries follow the values of one column after the other, sorted as text, the first value dropped; NULL is all zeros.
+    Rows hold only what is not zero. ``numbers`` must not be missing. No rows give vectors of the numbers alone.
     """
     codes = [f"_code_{i}" for i in range(len(columns))]
     hots = [f"_hot_{i}" for i in range(len(columns))]
@@ -78,3 +78,9 @@ def one_hot_vector(df: DataFrame, columns: list[str], numbers: list[str] = (), o
     typed = placed.withColumns({f"_number_{i}": F.col(c).cast("double") for i, c in enumerate(numbers)})
     inputs = [*[f"_number_{i}" for i in range(len(numbers))], *[h for _, h in wide]]
     return VectorAssembler(inputCols=inputs, outputCol=out).transform(typed).select(*df.columns, out)
+
+
+@F.udf(T.ArrayType(T.IntegerType()))
+def filled_places(vector):
+    """Places of a vector that are not zero, ascending; a vector with a place per value is never unrolled."""
+    return None if vector is None else [int(i) for i in vector.indices] if hasattr(vector, "indices") else [int(i) for i in vector.array.nonzero()[0]]
