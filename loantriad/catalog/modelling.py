@@ -6,6 +6,8 @@ tests. Votes, cost-sensitive decisions and neighbour classes are checked with SQ
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
@@ -20,7 +22,8 @@ from loantriad.operators import threeway as tw
 from loantriad.operators.evaluate import class_counts, fold_summary, importance_summary
 from loantriad.operators.sampling import train_test_split
 from loantriad.plans import credit_flow as cf
-from loantriad.plans.loans import loans, table
+from loantriad.plans.loans import GOOD_STATUS, loans, table
+from loantriad.plans.prepare import Roles, prepare
 from loantriad.session import is_stored, materialise
 
 NAMES = cf.FEATURES
@@ -108,6 +111,54 @@ def ml6(spark, folder):
     return report(spark, folder, le.gaussian_bayes())
 
 
+# what the model table holds, one row per loan and feature
+TRAINING_SQL = ", t as (unpivot (select loan_id, y, " + ", ".join(
+    {"monthly_income": "coalesce(monthly_income, avg(monthly_income) over ())", "loan_days": "date_diff('day', date '2000-01-01', loan_date::date)"}.get(c, c)
+    + f"::double as {c}" for c in NAMES
+) + f" from scored) on {', '.join(NAMES)} into name feature value x)\n"
+
+
+@query(
+    "ml6_class_moments",
+    TRAINING_SQL + """, w as (select max(v) as widest from (select var_pop(x) as v from t group by feature))
+select y::int as y, feature, round(count(*) / (select count(*) from scored)::double, 9) as prior, round(avg(x), 5) as mean,
+       round(sqrt(var_pop(x) + 1e-9 * any_value(widest)), 3) as sd from t, w group by y, feature""",
+    loans=True,
+)
+def ml6_moments(spark, folder):
+    """The fitted normal distributions of the Bayes learner: class moments, widened by 1e-9 of the widest feature's variance."""
+    model = le.gaussian_bayes().fit(le.assemble(cf.model_table(spark, folder), NAMES))
+    rows = [
+        (y, f, float(math.exp(model.pi[y])), float(model.theta[y, i]), float(math.sqrt(model.sigma[y, i])))
+        for y in range(model.numClasses) for i, f in enumerate(NAMES)
+    ]
+    out = spark.createDataFrame(rows, "y int, feature string, prior double, mean double, sd double")
+    return out.withColumns({"prior": F.round("prior", 9), "mean": F.round("mean", 5), "sd": F.round("sd", 3)})
+
+
+@query(
+    "ml10_discriminant_equations",
+    TRAINING_SQL + """select y::int as y, feature, round(avg(x), 2) as mean,
+                             round(count(*) / (select count(*) from scored)::double, 6) as prior from t group by y, feature""",
+    loans=True,
+)
+def ml10_equations(spark, folder):
+    """The fitted weights put back: pooled covariance x weights is the class mean, and the offset gives the prior."""
+    data = cf.model_table(spark, folder)
+    model = es.LinearDiscriminant(NAMES).fit(data)
+    centre = data.groupBy("y").agg(*[F.avg(c).alias(f"_m_{c}") for c in NAMES])
+    gaps = {c: F.col(c) - F.col(f"_m_{c}") for c in NAMES}
+    apart = data.join(F.broadcast(centre), "y")  # one row per class
+    row = apart.agg(F.count(F.lit(1)).alias("n"), *[F.sum(gaps[a] * gaps[b]).alias(f"{a}|{b}") for a in NAMES for b in NAMES]).first()
+    rows = []
+    for y, weights, offset in model.classes:
+        mean = [sum(row[f"{a}|{b}"] * w for b, w in zip(NAMES, weights)) / (row.n - len(model.classes)) for a in NAMES]
+        prior = math.exp(offset + 0.5 * sum(m * w for m, w in zip(mean, weights)))
+        rows += [(y, f, m, prior) for f, m in zip(NAMES, mean)]
+    out = spark.createDataFrame(rows, "y int, feature string, mean double, prior double")
+    return out.withColumns({"mean": F.round("mean", 2), "prior": F.round("prior", 6)})
+
+
 @query("ml7_perceptron")
 def ml7(spark, folder):
     return report(spark, folder, le.perceptron(len(NAMES)))
@@ -232,6 +283,74 @@ def evl9(spark, folder):
     return se.train_and_evaluate(models, train, test, cost)
 
 
+def raw_loans(spark, folder) -> DataFrame:
+    """The loans as a raw table has them: numbers as text with words between, gaps, an empty, a rare and a doubled column."""
+    key = F.col("loan_id")
+    text = lambda c, step, word: F.when(key % step == 0, word).otherwise(F.col(c).cast("string")).alias(c)
+    gap = lambda c, step: F.when(key % step != 0, F.col(c)).alias(c)
+    return loans(spark, folder).select(
+        "loan_id", "status", "branch_code", gap("contract_type", 71), "loan_purpose", text("loan_amount", 89, "n/a"), text("loan_rate", 83, "?"),
+        gap("duration_years", 79), text("installment_number", 67, "-1"), "monthly_income", gap("loan_date", 73),
+        F.lit(None).cast("double").alias("nothing"), F.when(key % 10 == 0, F.col("p_default")).alias("rare"), (F.col("monthly_income") * 2 + 1).alias("doubled"),
+    )
+
+
+PREPARED_SQL = """, raw as (
+select loan_id, case when status is null then 1 when trim(status) in ('settled', 'active') then 0 else 1 end as y, loan_purpose,
+       case when loan_id % 71 <> 0 then contract_type end as contract_type, loan_amount,
+       case when loan_id % 83 <> 0 then loan_rate end as rate, case when loan_id % 79 <> 0 then duration_years end as duration_years,
+       installment_number::double as installment_number, monthly_income, case when loan_id % 73 <> 0 then loan_date end as loan_date,
+       branch_code, case when loan_id % 10 = 0 then p_default end as rare, monthly_income * 2 + 1 as doubled
+from loans where loan_id % 89 <> 0 and loan_id % 67 <> 0 and loan_amount >= 0),
+priced as (
+select * exclude (rate), coalesce(rate, avg(rate) over ()) as loan_rate,
+       loan_amount * (coalesce(rate, avg(rate) over ()) / 100.0) * coalesce(duration_years, 1) as interest_cash,
+       epoch(loan_date::timestamp)::double as loan_date_seconds
+from raw),
+cells as (
+unpivot (select loan_id, branch_code::double as branch_code, loan_amount, loan_rate, duration_years::double as duration_years,
+                installment_number, monthly_income, rare, doubled from priced)
+on branch_code, loan_amount, loan_rate, duration_years, installment_number, monthly_income, rare, doubled into name col value x),
+-- columns stand in the raw order of the table
+places as (select distinct col, case col when 'branch_code' then 1 when 'loan_amount' then 2 when 'loan_rate' then 3 when 'duration_years' then 4
+                                   when 'installment_number' then 5 when 'monthly_income' then 6 when 'rare' then 7 else 8 end as place from cells),
+dropped as (
+select distinct b.col from cells a join cells b using (loan_id) join places pa on pa.col = a.col join places pb on pb.col = b.col
+where pa.place < pb.place and b.col not in ('loan_amount', 'loan_rate') group by a.col, b.col having abs(corr(a.x, b.x)) > 0.7),
+sparse as (select col from cells group by col having count(*) < floor(0.2 * (select count(*) from priced))),
+wide as (
+select loan_id, y, coalesce(contract_type, (select contract_type from priced where contract_type is not null group by 1 order by count(*) desc, 1 limit 1)) as contract_type,
+       loan_purpose, interest_cash, coalesce(loan_date_seconds, median(loan_date_seconds) over ()) as loan_date_seconds,
+       coalesce(branch_code, avg(branch_code) over ())::double as branch_code, loan_amount, loan_rate,
+       coalesce(duration_years, avg(duration_years) over ())::double as duration_years, installment_number,
+       coalesce(monthly_income, avg(monthly_income) over ()) as monthly_income, coalesce(rare, avg(rare) over ()) as rare,
+       coalesce(doubled, avg(doubled) over ()) as doubled
+from priced),
+long as (
+unpivot (select * exclude (contract_type, loan_purpose) from wide)
+on interest_cash, loan_date_seconds, branch_code, loan_amount, loan_rate, duration_years, installment_number, monthly_income, rare, doubled
+into name feature value x),
+hot as (
+select loan_id, y, 'contract_type_' || v as feature, (contract_type = v)::int::double as x
+from wide cross join (select distinct contract_type as v from wide where contract_type > (select min(contract_type) from wide))
+union all
+select loan_id, y, 'loan_purpose_' || v, (loan_purpose = v)::int::double
+from wide cross join (select distinct loan_purpose as v from wide where loan_purpose > (select min(loan_purpose) from wide)))
+select loan_id, y, feature, round(x + 0.0000123, 3) as x from long
+where feature not in (select col from dropped) and feature not in (select col from sparse)
+union all select loan_id, y, feature, round(x + 0.0000123, 3) from hot
+"""
+
+
+@query("flow_preprocessing", PREPARED_SQL, loans=True)
+def flow_preprocessing(spark, folder):
+    """Every cell of the prepared loan table: which columns are left and what is in them."""
+    out = prepare(raw_loans(spark, folder), Roles(good=GOOD_STATUS))
+    # exact interests have six decimals at most: the shift keeps them off the middle between two roundings
+    cells = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c).cast("double") + 0.0000123, 3).alias("x")) for c in out.columns if c not in ("loan_id", "y")]
+    return out.select("loan_id", "y", F.inline(F.array(*cells)))
+
+
 def flow_settings() -> cf.Settings:
     """5 folds, 10 bags, SMOTE, recursive elimination of all features on 5 inner folds; 20 boosting rounds (README)."""
     return cf.Settings(risk=lambda: le.gradient_boosting(20, 0.3), together=True, resolver="forest")

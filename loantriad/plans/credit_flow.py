@@ -21,6 +21,7 @@ from loantriad.operators.evaluate import comparison, evaluate
 from loantriad.operators.neighbors import smote
 from loantriad.operators.sampling import stratified_k_fold
 from loantriad.plans.loans import labelled_loans
+from loantriad.plans.prepare import Roles, feature_names, prepare
 from loantriad.session import materialise, settle, spread
 
 FEATURES = ["loan_amount", "loan_rate", "duration_years", "installment_number", "monthly_income", "loan_days", "branch_code"]
@@ -33,6 +34,14 @@ def model_table(spark: SparkSession, folder: str, folds: int = 5) -> DataFrame:
     return spread(materialise(stratified_k_fold(impute(df, ["monthly_income"]), "loan_id", ["y"], folds), "model-table"))
 
 
+def prepared_table(raw: DataFrame, roles: Roles = Roles(), folds: int = 5, **options) -> tuple[DataFrame, list[str]]:
+    """(model table, features) of a raw loan table through the composed preprocessing; the losses come from its own interest."""
+    out = prepare(raw, roles, **options)
+    losses = {"lam_pn": F.col("interest_cash"), "lam_np": F.col(roles.amount) + F.col("interest_cash")}
+    stored = stratified_k_fold(out.withColumns(losses), roles.row_id, [roles.label], folds)
+    return spread(materialise(stored, "prepared-table")), feature_names(out, roles)
+
+
 @dataclass
 class Settings:
     features: list[str] = field(default_factory=lambda: list(FEATURES))

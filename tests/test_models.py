@@ -113,3 +113,61 @@ def test_flow_queries_share_one_result(spark, folder, monkeypatch):
     assert sorted(r.fold for r in rows) == [0, 1, 2] and all(r.tp + r.tn + r.fp + r.fn > 0 for r in rows)
     assert modelling.flow_summary(spark, folder).count() == 11 and runs == [1]
     spark.sparkContext.__dict__.pop("_loantriad_flows", None)
+
+
+def raw_table(spark, n=400):
+    from datetime import date, timedelta
+
+    rows = [
+        (2**60 + 2 * i + 1, None if i % 50 == 0 else "good" if i % 3 else "late", "oops" if i % 40 == 0 else str(100.0 + i % 7), "?" if i % 20 == 1 else "10",
+         None if i % 25 == 2 else float(1 + i % 3), str(i % 5 - (i % 5 == 4) * 9), None if i % 30 == 3 else date(2020, 1, 1) + timedelta(days=i),
+         None, "a" if i % 10 else None, float(i % 4) if i % 10 == 0 else None, float(i % 11), 2.0 * (i % 11))
+        for i in range(n)
+    ]
+    kinds = ("loan_id bigint, status string, loan_amount string, loan_rate string, duration_years double, installment_number string, loan_date date, "
+             "nothing double, colour string, rare double, first double, second double")
+    return spark.createDataFrame(rows, kinds), rows
+
+
+def test_preparation_by_hand(spark):
+    from loantriad.plans.prepare import Roles, feature_names, prepare
+
+    df, rows = raw_table(spark)
+    kept = [r for r in rows if r[2] != "oops" and float(r[5]) >= 0]
+    out = prepare(df, Roles(good=("good",)))
+    assert feature_names(out) == ["loan_amount", "loan_rate", "duration_years", "installment_number", "first", "interest_cash", "loan_date_seconds"]
+    got = {r.loan_id: r for r in out.collect()}
+    assert set(got) == {r[0] for r in kept}  # large odd ids are not rounded
+    known = [r[4] for r in kept if r[4] is not None]
+    for r in kept:
+        g = got[r[0]]
+        assert g.y == int(r[1] != "good") and g.loan_amount == float(r[2]) and g.loan_rate == 10.0
+        assert g.duration_years == pytest.approx(sum(known) / len(known) if r[4] is None else r[4])
+        assert g.interest_cash == pytest.approx(float(r[2]) * 0.1 * (r[4] or 1.0))
+    days = sorted((r[6] - rows[0][6]).days for r in kept if r[6] is not None)
+    middle = [got[r[0]].loan_date_seconds for r in kept if r[6] is None]
+    want = (days[(len(days) - 1) // 2] + days[len(days) // 2]) / 2 * 86400 + 1577836800
+    assert middle and set(middle) == {want}
+
+
+def test_preparation_without_rows_and_with_many_values(spark):
+    from loantriad.plans.prepare import Roles, prepare
+
+    df, rows = raw_table(spark)
+    empty = prepare(df.limit(0), Roles(good=("good",)))
+    assert empty.columns == ["loan_id", "y"] and empty.count() == 0
+    many = df.withColumn("colour", F.col("loan_id").cast("string"))
+    out = prepare(many, Roles(good=("good",)), vector="features").select("features").first()
+    kept = len([r for r in rows if r[2] != "oops" and float(r[5]) >= 0])
+    assert out.features.size == 7 + kept - 1
+
+
+def test_a_fold_runs_on_the_prepared_table(spark):
+    from loantriad.plans.prepare import Roles
+
+    df, _ = raw_table(spark, 1200)
+    data, names = cf.prepared_table(df, Roles(good=("good",)), 3)
+    cfg = cf.Settings(features=names, risk=lambda: le.logistic(10), resolver="forest", boundary_bags=3, steps=5, folds=3)
+    row, weights = cf.run_fold(data, 0, cfg)
+    found = row.first()
+    assert found.tp + found.fp + found.tn + found.fn == data.where("fold = 0").count() and 0 <= found.auc <= 1
