@@ -8,7 +8,8 @@ and LT link tags, and the body's ratio LCb / Cb, the composite density is
 all counts at least 1: long text with few tags and few links is dense. A node's density sum adds the densities of
 the blocks below it. The node with the greatest density sum gives the threshold: the least density on its path from the body. In
 every block that reaches the threshold, the subtree with the greatest density sum is marked; an article or main element
-around a mark is content as a whole, without one the least subtree around all marks is. Parts that by tag, role or name are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments
+around a mark is the content's frame, without one the least subtree around all marks is. Inside the frame, what holds no marked block and
+is mostly links (three or more of them, with over half of its characters) goes: lists of links without a telling name. Parts that by tag, role or name are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments
 are left out; they are left out of the counts as well, so that a long menu doesn't outweigh a short article.
 
 Text blocks end where block tags begin or end. White space inside a block becomes one space; blocks are joined by an
@@ -58,6 +59,8 @@ LEFT_NAMES = frozenset(
     "pagination pager login signup".split())
 #: Tags that are the page or the article itself, whatever their names say.
 NEVER_LEFT = frozenset("html body main article".split())
+#: A block without a marked one needs this many links to count as a list of links: a heading or line that is one link stays.
+LIST_LINKS = 3
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -179,8 +182,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def main_nodes(root: Node) -> set[int]:
-    """Identities of the nodes that are content, each with all below it."""
+def main_nodes(root: Node) -> tuple[set[int], set[int]]:
+    """Identities of the nodes that frame the content, and of those below that are lists of links."""
     nodes = measure(root)
     threshold, node = math.inf, max(nodes, key=lambda n: n.total)  # the first, so the highest, of equals
     while node is not None:
@@ -195,7 +198,13 @@ def main_nodes(root: Node) -> set[int]:
                 top = best[id(part)]
         best[id(node)] = top
     marked = [best[id(n)] for n in nodes if n.chars and n.density >= threshold and (n.tag in BLOCK or n is root)]
-    return {id(n) for n in _whole(marked)}
+    holds: set[int] = set()
+    for node in marked:
+        while node is not None and id(node) not in holds:
+            holds.add(id(node))
+            node = node.parent
+    lists = {id(n) for n in nodes if n.tag in BLOCK and id(n) not in holds and n.link_tags >= LIST_LINKS and 2 * n.link_chars > n.chars}
+    return {id(n) for n in _whole(marked)}, lists
 
 
 def _whole(marked: list[Node]) -> list[Node]:
@@ -226,8 +235,8 @@ def _whole(marked: list[Node]) -> list[Node]:
     return [common] if common is not None else []
 
 
-def blocks(root: Node, content: set[int]) -> list[str]:
-    """Text blocks of the content nodes in page order."""
+def blocks(root: Node, content: set[int], lists: set[int]) -> list[str]:
+    """Text blocks of the content nodes in page order, without ``lists``."""
     out: list[str] = []
     current: list[str] = []
 
@@ -247,7 +256,7 @@ def blocks(root: Node, content: set[int]) -> list[str]:
                 current.append(part)
         elif part.tag == "br":
             current.append(" ")
-        elif part.left:
+        elif part.left or id(part) in lists:
             if part.tag in BLOCK:
                 close()
         else:
@@ -266,7 +275,7 @@ def main_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return "\n\n".join(blocks(builder.root, main_nodes(builder.root)))
+    return "\n\n".join(blocks(builder.root, *main_nodes(builder.root)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -327,6 +328,72 @@ def test_long_article_outweighs_unnamed_parts():
     assert "link 3" not in text and text.count("end") == 5
 
 
+LONG = ("A long paragraph of running text, with several clauses, that says something about the matter at hand and goes on for a while. " * 4).strip()
+
+
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_lists_of_links_without_telling_names_go(frame, inside):
+    links = "<div><ul>" + "".join(f"<li><a href='/{i}'>Another story number {i}</a></li>" for i in range(20)) + "</ul></div>"
+    side = "<section><p><a href='/a'>First link here</a></p><p><a href='/b'>Second link here</a></p><p><a href='/c'>Third</a> x</p></section>"
+    body = f"<h2><a href='/self'>Heading as a link</a></h2>" + f"<p>{LONG}</p>" * 2 + (links + side if inside else "") + f"<p>{LONG} <a href='/s'>source</a></p><p>Short end.</p>"
+    html = f"<body>{'' if inside else links}<{frame}>{body}</{frame}>{'' if inside else side}</body>"
+    want = ["Heading as a link", LONG, LONG, LONG + " source", "Short end."]
+    assert pages.main_text(html).split("\n\n") == want
+
+
+def plain_density(node, ratio):
+    """Counts, density and density sum of a node straight from the definition, by looking through everything below it."""
+    def below(n):
+        for p in n.parts:
+            if not isinstance(p, str) and not p.left:
+                yield p
+                yield from below(p)
+
+    def chars(n):
+        return sum(len("".join(p.split())) if isinstance(p, str) else 0 if p.left else chars(p) for p in n.parts)
+
+    def link_chars(n):
+        return chars(n) if n.tag == "a" else sum(link_chars(p) for p in n.parts if not isinstance(p, str) and not p.left)
+
+    def density(n):
+        c, t = chars(n), max(sum(1 for _ in below(n)), 1)
+        lc, lt = max(link_chars(n), 1), max(sum(1 for b in below(n) if b.tag == "a"), 1)
+        base = math.log(c / max(c - link_chars(n), 1) * lc + ratio * c + math.e) if c else 0
+        return 0.0 if not c else c / t * math.log(max(c / lc * t / lt, 1e-9)) / math.log(base) if base > 1.0000001 else c / t
+
+    def total(n):
+        return sum(density(p) if p.tag in pages.BLOCK else total(p) for p in n.parts if not isinstance(p, str) and not p.left)
+
+    return chars(node), density(node), total(node)
+
+
+def test_density_equals_its_definition_on_random_trees():
+    rnd = random.Random(4)
+
+    def grow(deep):
+        if deep == 0 or rnd.random() < 0.3:
+            return rnd.choice(["", " ", "word", "two words", "x" * rnd.randint(1, 80)])
+        tag = rnd.choice(["div", "section", "span", "b", "a", "ul", "nav"])
+        return f"<{tag}>" + "".join(grow(deep - 1) for _ in range(rnd.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(150):
+        builder = pages.TreeBuilder()
+        builder.feed("<body>" + "".join(grow(4) for _ in range(3)) + "</body>")
+        builder.close()
+        nodes = pages.measure(builder.root)
+        ratio = builder.root.link_chars / max(builder.root.chars, 1)
+        for n in nodes:
+            c, d, t = plain_density(n, ratio)
+            assert n.chars == c and n.density == pytest.approx(d) and n.total == pytest.approx(t)
+
+
+def test_deep_unclosed_inline_tags_take_linear_time():
+    start = time.perf_counter()
+    assert pages.main_text("<body><p>" + "<font>x " * 20_000).startswith("x x")
+    assert time.perf_counter() - start < 10
+
+
 def test_pages_of_rows(spark, folder):
     frame = table(spark, folder, "pages").select("*", F.lit("clash").alias("text"), F.lit(1).alias("n_chars"))
     got = {r.page_id: r for r in pages.extract(frame).collect()}
