@@ -1,12 +1,14 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt by id into shards of about ``SHARD_ROWS``. A shard's tree halves its vectors by the widest of a few
+Vectors are dealt by nearness: each goes to the cell of its nearest pivot (a bounded set of the vectors themselves), and a cell
+with more than ``SHARD_ROWS`` is split into shards by id. A shard's tree halves its vectors by the widest of a few
 directions until a ball holds ``LEAF`` of them. For a query q, no vector in a ball with centre c and radius r scores
 above q.c + |q| r; nodes are taken from a heap by that bound, for a block of queries at once, and left by every query
-whose k-th score so far is above it. First each query searches the shard that it lies in; its k-th score then travels
-with it to all other shards and prunes there from the start. A shard streams its queries in blocks, so a task
-holds one tree and one block, however many queries there are. No pair of query and vector is ever a row; a shard hands on
-at most k rows a query.
+whose k-th score so far is above it. There are three rounds, and the k-th score travels on: first each query searches the
+shard that it lies in, then the ``FIRST_CELLS`` cells with the greatest bounds, then every further cell whose bound still
+reaches its k-th score. Cells that can't are left before anything is shuffled. A shard streams its queries in
+blocks, so a task holds one tree and one block, however many queries there are. No pair of query and vector is ever a
+row; a shard hands on at most k rows a query.
 
 Scores are exact: components are whole numbers, products are taken in doubles where no sum can pass 2^53, else in whole
 64-bit numbers. Ties go to the smaller id, also across shards, since a node is left only if its bound is below the k-th
@@ -15,7 +17,7 @@ score.
 Defined results: vectors that are null, or hold nulls or non-finite numbers, take no part; vectors of another length
 than the query's aren't compared with it; rows without id take no part; of rows with one id the least vector counts
 once; a query with fewer than k candidates gets all; an empty table gives an empty table. Only vec_id and embedding are
-read.
+read. Vectors of a length that no pivot has form cells without a bound.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from loantriad.llm.common import table
 from loantriad.llm.registry import corpus_query
@@ -35,6 +37,10 @@ K = 20
 SHARD_ROWS = 8_192
 LEAF = 128
 QUERY_BLOCK = 256
+FIRST_CELLS = 4
+#: All pivots together; they go to every task.
+PIVOT_BYTES = 64 << 20
+DEAL_STEP = 2_000_000  # distances held at once
 QUERY_STEP = 20
 SCALE = 64
 #: Below every score: no candidate.
@@ -188,6 +194,73 @@ def _away(k: int, leaf: int):
     return run
 
 
+def _deal(pivots: dict[int, np.ndarray]):
+    """Number of the nearest pivot among those of the vector's length, and its distance; -1 where there are none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cell, far = np.full(len(frame), -1), np.zeros(len(frame))
+            dims = frame["dims"].to_numpy()
+            for d in np.unique(dims):
+                if d not in pivots:
+                    continue
+                points = pivots[d]
+                half = 0.5 * (points ** 2).sum(axis=1)
+                rows = np.flatnonzero(dims == d)
+                step = max(1, DEAL_STEP // max(len(points), d))
+                for at in range(0, len(rows), step):
+                    some = rows[at:at + step]
+                    x = np.stack(frame["v"].iloc[some].to_numpy()).astype(np.float64)
+                    cell[some] = (half - x @ points.T).argmin(axis=1)
+                    far[some] = np.sqrt(((x - points[cell[some]]) ** 2).sum(axis=1))
+            yield frame.assign(cell=cell.astype("int32"), far=far)
+
+    return run
+
+
+class Cells:
+    """Pivots, radii and shards of the cells of one vector length: a few numbers for each pivot."""
+
+    def __init__(self, points: np.ndarray | None, stats: list):
+        self.points = None if points is None else points[[r.cell for r in stats]]
+        self.radius = np.array([r.radius for r in stats]) * (1 + 1e-9) + 1e-9
+        self.first = np.array([r.first for r in stats])
+        self.subs = np.array([r.subs for r in stats])
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """No vector of the cell scores above this; a row per query, a column per cell."""
+        if self.points is None:
+            return np.full((len(q), len(self.first)), np.inf)
+        norms = np.sqrt((q ** 2).sum(axis=1))[:, None]
+        size = norms * (np.sqrt((self.points ** 2).sum(axis=1)) + self.radius)
+        return q @ self.points.T + norms * self.radius + 1e-9 * size + 1e-6
+
+
+def _visits(cells: dict[int, Cells], nearest: bool, first_cells: int):
+    """(query, shard) visits of the ``first_cells`` cells with the greatest bounds, or of all others that still matter."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            dims = frame["dims"].to_numpy()
+            for d in np.unique(dims):
+                known = cells[d]
+                rows = np.flatnonzero(dims == d)
+                step = max(1, DEAL_STEP // max(len(known.first), d, 1))
+                for at in range(0, len(rows), step):
+                    part = frame.iloc[rows[at:at + step]]
+                    bound = known.bounds(np.stack(part["v"].to_numpy()).astype(np.float64).reshape(len(part), -1))
+                    top = np.zeros(bound.shape, bool)
+                    np.put_along_axis(top, np.argsort(-bound, axis=1, kind="stable")[:, :first_cells], True, axis=1)
+                    row, cell = np.nonzero((bound >= part["floor"].to_numpy()[:, None]) & (top == nearest))
+                    times = known.subs[cell]
+                    begin = np.cumsum(times) - times
+                    shard = np.repeat(known.first[cell] - begin, times) + np.arange(int(times.sum()))
+                    out = part.iloc[np.repeat(row, times)].assign(to=shard.astype("int32"))
+                    yield out[out["to"] != out["shard"]][["dims", "to", "vec_id", "v", "floor"]]
+
+    return run
+
+
 def whole_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the components times ``scale`` rounded down; unusable vectors and repeated ids are left out."""
     x = F.col("embedding")
@@ -203,21 +276,54 @@ def top_k(vectors: DataFrame, asked, k: int = K, shard_rows: int = SHARD_ROWS, l
 
     ``vectors``: vec_id, v (array<long>), each id once.
     """
-    dealt = vectors.select("vec_id", "v", asked.alias("asked"), F.size("v").alias("dims"))
-    stored = materialise(dealt, "vectors")
-    shards = max(1, -(-stored.count() // shard_rows))
-    stored = stored.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    home = materialise(stored.groupBy("dims", "shard").applyInPandas(_home(k, leaf), FOUND), "home")
-    kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    visits = (
-        stored.where("asked").join(kth, F.col("vec_id") == F.col("query_id"), "left")
-        .withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("to") != F.col("shard"))
-        .select("dims", F.col("to").cast("int").alias("shard"), F.lit(True).alias("visit"), "vec_id", "v",
-                F.coalesce("floor", F.lit(NONE)).alias("floor")))
-    rows = stored.select("dims", "shard", F.lit(False).alias("visit"), "vec_id", "v", F.lit(NONE).alias("floor")).unionByName(visits)
-    away = rows.repartition(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "visit").mapInPandas(_away(k, leaf), FOUND)
+    return _search(deal(vectors, asked, shard_rows), k, leaf)[0]
+
+
+def deal(vectors: DataFrame, asked, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, Cells]]:
+    """(vectors with their shard, what is known of the cells of each vector length)."""
+    spark = vectors.sparkSession
+    kind = "vec_id long, v array<long>, asked boolean, dims int"
+    plain = materialise(vectors.select("vec_id", "v", F.coalesce(asked, F.lit(False)).alias("asked"), F.size("v").alias("dims")), "vectors")
+    size = plain.agg(F.count(F.lit(1)).alias("n"), F.max("dims").alias("widest")).first()
+    most = max(1, min(-(-size.n // shard_rows), PIVOT_BYTES // (8 * max(size.widest or 1, 1))))
+    pivots: dict[int, list] = {}
+    for r in plain.where("dims > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("dims", "v").collect():
+        pivots.setdefault(r.dims, []).append(r.v)
+    points = {d: np.array(p, np.float64) for d, p in pivots.items()}
+    dealt = materialise(plain.mapInPandas(_deal(points), f"{kind}, cell int, far double"), "dealt")
+    found = dealt.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).orderBy("dims", "cell").collect()
+    first, stats = 0, {}
+    for r in found:
+        subs = -(-r.n // shard_rows)
+        stats.setdefault(r.dims, []).append(Row(cell=r.cell, radius=r.radius, first=first, subs=subs))
+        first += subs
+    split = spark.createDataFrame([(d, r.cell, r.first, r.subs) for d, rs in stats.items() for r in rs], "dims int, cell int, first int, subs int")
+    stored = dealt.join(F.broadcast(split), ["dims", "cell"]).select(  # one row per pivot
+        "dims", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "subs")).cast("int").alias("shard"), "vec_id", "v", "asked")
+    return materialise(stored, "shards"), {d: Cells(points.get(d), rs) for d, rs in stats.items()}
+
+
+def _search(dealt: tuple[DataFrame, dict[int, Cells]], k: int, leaf: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(the best k of each query, the visits of the second and third round)."""
+    stored, cells = dealt
+    shards = max(1, sum(int(c.subs.sum()) for c in cells.values()))
+    found = materialise(stored.groupBy("dims", "shard").applyInPandas(_home(k, leaf), FOUND), "home")
+    own = stored.select("dims", "shard", F.lit(False).alias("visit"), "vec_id", "v", F.lit(NONE).alias("floor"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
-    return home.unionByName(away).select("query_id", F.row_number().over(by_score).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    rounds = []
+    for nearest in (True, False):
+        # found holds each pair once, so the k-th best of it is reached by k other vectors
+        ranked = found.withColumn("rank", F.row_number().over(by_score))
+        kth = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        asking = stored.where("asked").join(kth, "vec_id", "left").select(
+            "dims", "shard", "vec_id", "v", F.coalesce("floor", F.lit(NONE)).alias("floor"))
+        visits = materialise(asking.mapInPandas(_visits(cells, nearest, FIRST_CELLS), "dims int, to int, vec_id long, v array<long>, floor long"), "visits")
+        rounds.append(visits)
+        rows = own.unionByName(visits.select("dims", F.col("to").alias("shard"), F.lit(True).alias("visit"), "vec_id", "v", "floor"))
+        away = rows.repartition(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "visit").mapInPandas(_away(k, leaf), FOUND)
+        found = found.unionByName(materialise(away, "away"))
+    best = found.select("query_id", F.row_number().over(by_score).alias("rank"), "vec_id", "score")
+    return best.where(F.col("rank") <= k), rounds
 
 
 OP3_SQL = """

@@ -428,6 +428,26 @@ def test_search_brute_force(spark, scale):
     assert sorted(map(tuple, got.collect())) == brute_top(vectors, [i for i in vectors if i % 20 == 0], 5)
 
 
+def test_search_visits_few_shards_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    x = (centres[rng.integers(30, size=3_000)] * 400 + rng.normal(size=(3_000, 12)) * 8).astype(int)
+    x[:1_000] = x[0] + rng.integers(-2, 3, size=(1_000, 12))  # one ball holds a third of all rows
+    vectors = {i: [int(e) for e in v] for i, v in enumerate(x)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<long>")
+    dealt = topk.deal(df, F.col("vec_id") % 20 == 0, shard_rows=50)
+    shards = sum(int(c.subs.sum()) for c in dealt[1].values())
+    best, rounds = topk._search(dealt, 5, 16)
+    assert dealt[0].groupBy("shard").count().agg(F.max("count")).first()[0] < 150
+    got = np.array(sorted(map(tuple, best.collect())))
+    scores = x @ x.T
+    for q in range(0, 3_000, 20):
+        order = np.lexsort((np.arange(3_000), -scores[q]))
+        want = [i for i in order[:6] if i != q][:5]
+        assert got[got[:, 0] == q][:, 2].tolist() == want
+    assert sum(r.count() for r in rounds) < 0.35 * 150 * shards
+
+
 def test_search_awkward(spark):
     rows_ = [(0, [0.5, -0.5]), (0, [0.5, -0.5]), (1, [1.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
              (None, [1.0, 1.0]), (6, [0.25, 0.0]), (20, [1.0])]
