@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from loantriad.models.learners import Learner, linear_svm
 from loantriad.session import settle
@@ -19,12 +21,12 @@ class PairwiseMachines(Estimator):
 
     The class with most votes wins; equal votes go to the greater sum of squashed margins, then to the smaller label.
     Labels are whole numbers; rows without one are not learnt from. There are k (k - 1) / 2 machines, so k is limited by the
-    argument ``limit``.
+    argument ``limit``. A machine is fitted in many short jobs, so ``parallelism`` machines are fitted side by side.
     """
 
-    def __init__(self, learner: Learner = linear_svm, label: str = "y", limit: int = 50):
+    def __init__(self, learner: Learner = linear_svm, label: str = "y", limit: int = 50, parallelism: int = 8):
         super().__init__()
-        self.learner, self.label, self.limit = learner, label, limit
+        self.learner, self.label, self.limit, self.parallelism = learner, label, limit, parallelism
 
     def _fit(self, df: DataFrame) -> "PairwiseModel":
         df = settle(df)
@@ -34,11 +36,15 @@ class PairwiseMachines(Estimator):
             raise ValueError("no labelled rows")
         if len(classes) > self.limit:
             raise ValueError(f"more than {self.limit} classes: raise limit, or use one machine a class")
-        machines = {}
-        for low, high in combinations(classes, 2):
-            pair = df.where(F.col(self.label).isin(low, high)).withColumn(self.label, (F.col(self.label) == high).cast("double"))
-            machines[low, high] = self.learner().fit(pair)
-        return PairwiseModel(classes, machines)
+
+        def one(pair: tuple[int, int]) -> Model:
+            rows = df.where(F.col(self.label).isin(*pair)).withColumn(self.label, (F.col(self.label) == pair[1]).cast("double"))
+            return self.learner().fit(rows)
+
+        pairs = list(combinations(classes, 2))
+        with ThreadPool(self.parallelism) as pool:
+            machines = pool.map(inheritable_thread_target(df.sparkSession)(one), pairs, chunksize=1)
+        return PairwiseModel(classes, dict(zip(pairs, machines)))
 
 
 class PairwiseModel(Model):

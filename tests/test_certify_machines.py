@@ -2,9 +2,11 @@
 
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -87,6 +89,20 @@ def test_pairwise_votes(spark):
         ma.PairwiseMachines(limit=3).fit(df)
 
 
+def test_machines_are_fitted_side_by_side(spark):
+    """Every fit waits for another one to begin, which a loop over the pairs never reaches."""
+    met = threading.Barrier(2, timeout=20)
+
+    class Waits(Estimator):
+        def _fit(self, df):
+            met.wait()
+            return le.linear_svm(2).fit(df)
+
+    rows = [(i % 4, float(i % 4), float(i)) for i in range(40)]
+    df = le.assemble(spark.createDataFrame(rows, "y int, a double, b double"), ["a", "b"])
+    assert len(ma.PairwiseMachines(Waits, parallelism=2).fit(df).machines) == 6
+
+
 def test_one_class_and_unlabelled_rows(spark):
     df = le.assemble(spark.createDataFrame([(4, 1.0), (None, 2.0)], "y int, a double"), ["a"])
     assert [r.prediction for r in ma.PairwiseMachines().fit(df).transform(df).collect()] == [4.0, 4.0]
