@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -47,6 +48,16 @@ def ends_inside(line: str, inside: bool) -> bool:
         at, inside = at + 1, False
 
 
+#: Lines that start and end outside a quoted cell, as ``ends_inside`` has it.
+_CELL = r'(?:"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|)'
+CLOSED = rf"\A{_CELL}(?:,{_CELL})*\z"
+
+
+def open_lines(values) -> np.ndarray:
+    """Places of the lines that, started outside, end inside a quoted cell."""
+    return np.flatnonzero(~pc.match_substring_regex(values, CLOSED).to_numpy(zero_copy_only=False))
+
+
 def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
@@ -74,9 +85,18 @@ def _range_maps(batches):
             if key:
                 yield _map_row(key, after)
             key, after = (file, start), (False, True)
-        for line in values.to_pylist():
-            line = line.removesuffix("\r")
-            after = tuple(ends_inside(line, state) for state in after)
+        opens, at = open_lines(values), 0
+        while at < len(values):
+            if after == (False, False):  # nothing happens before the next line that opens a cell
+                place = np.searchsorted(opens, at)
+                if place == len(opens):
+                    break
+                at = int(opens[place])
+            line = values[at].as_py().removesuffix("\r")
+            # states that have met stay together
+            behind = {state: ends_inside(line, state) for state in set(after)}
+            after = (behind[after[0]], behind[after[1]])
+            at += 1
     if key:
         yield _map_row(key, after)
 
@@ -139,7 +159,17 @@ def _assemble(states: dict[str, tuple[list[int], list[bool]]]):
                 yield rows(values, ["whole"] * n, [False] * n, file, start)
                 continue
             done, kinds, firsts = [], [], []
-            for line in values.to_pylist():
+            opens, at, alone = open_lines(values), 0, np.zeros(len(values), bool)
+            while at < len(values):
+                if not inside and not first:  # lines up to the next one that opens a cell are records
+                    place = np.searchsorted(opens, at)
+                    stop = int(opens[place]) if place < len(opens) else len(values)
+                    alone[at:stop] = True
+                    at = stop
+                    if at == len(values):
+                        break
+                line = values[at].as_py()
+                at += 1
                 if inside or QUOTE in line:
                     inside = ends_inside(line.removesuffix("\r"), inside)
                 pieces.append(line)
@@ -149,6 +179,9 @@ def _assemble(states: dict[str, tuple[list[int], list[bool]]]):
                     firsts.append(first)
                     pieces, kind = [], "whole"
                     first = first and done[-1] in ("", "\r")  # the header is the first line that is not empty
+            if alone.any():
+                n = int(alone.sum())
+                yield rows(values.filter(pa.array(alone)), ["whole"] * n, [False] * n, file, start)
             if done:
                 yield rows(done, kinds, firsts, file, start)
         if pieces:

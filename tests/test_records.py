@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -84,3 +85,20 @@ def test_replacing_batch_and_unfinished_records(spark, tmp_path):
     assert ba.read_batches(spark, root, "id long").count() == 3
     with pytest.raises(ValueError):
         ba.commit_batch(spark.range(1), root, "e", "upsert")
+
+
+def test_lines_that_stay_outside_are_not_walked(monkeypatch):
+    """The pattern tells the same lines as the walk, and only lines that open a quoted cell are walked."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choice('",a\r ') for _ in range(rng.randint(0, 9))) for _ in range(20_000)]
+    wanted = [i for i, line in enumerate(lines) if rc.ends_inside(line.removesuffix("\r"), False)]
+    assert rc.open_lines(pa.array(lines)).tolist() == wanted
+    walked, walk = [], rc.ends_inside
+    monkeypatch.setattr(rc, "ends_inside", lambda line, inside: walked.append(line) or walk(line, inside))
+    batch = pa.RecordBatch.from_pylist([{"file": "f", "start": 5, "value": v} for v in ['1,"a"', *['2,"b",c'] * 50, '3,"two', 'lines",d', *['4,"e"'] * 50]])
+    assert [b.to_pylist() for b in rc._range_maps([batch])] == [[{"file": "f", "start": 5, "outside": False, "inside": False}]]
+    assert len(walked) < 10
+    walked.clear()
+    out = [r for b in rc._assemble({})([batch]) for r in b.to_pylist()]
+    assert sorted(r["value"] for r in out) == sorted(['1,"a"', *['2,"b",c'] * 50, '3,"two\nlines",d', *['4,"e"'] * 50])
+    assert {r["kind"] for r in out} == {"whole"} and len(walked) < 10
