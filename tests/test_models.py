@@ -1,6 +1,9 @@
 """Learners and ensembles on a separable table: quality floors and contracts."""
 
+import threading
+
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
 from loantriad.models import ensembles as es
@@ -171,3 +174,18 @@ def test_a_fold_runs_on_the_prepared_table(spark):
     row, weights = cf.run_fold(data, 0, cfg)
     found = row.first()
     assert found.tp + found.fp + found.tn + found.fn == data.where("fold = 0").count() and 0 <= found.auc <= 1
+
+
+def test_baseline_folds_run_side_by_side(spark):
+    """A fit waits for one of another fold, which a loop over the folds never reaches; the rows are those of single folds."""
+    met = threading.Barrier(2, timeout=30)
+
+    class Waits(Estimator):
+        def _fit(self, df):
+            met.wait()
+            return le.decision_tree(depth=2).fit(df)
+
+    rows = [(i, i % 2, (i // 2) % 2, 1.0, 2.0, float(i % 2) + (i % 7) / 10, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "loan_id int, y int, fold int, lam_pn double, lam_np double, a double, b double")
+    out = cf.baselines(df, {"tree": Waits}, cf.Settings(features=["a", "b"], folds=2)).collect()
+    assert sorted((r.fold, r.model, r.tp + r.fn + r.tn + r.fp) for r in out) == [(0, "tree", 30), (1, "tree", 30)]
