@@ -27,7 +27,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loantriad.llm.common import CACHE_WORDS, beside, row_by_row, table, vocabulary_path
+from loantriad.llm.common import CACHE_WORDS, beside, row_by_row, slices, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
 
 #: The public pretokenisation pattern of this vocabulary (fixed value).
@@ -166,6 +166,10 @@ class ChunkEncoder:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def batch(self, texts: Iterable[str | None]) -> list[bytes]:
+        """What each text is encoded to. Chunks take many times the memory of their text, so those of some texts are held at once."""
+        return [ids for some in slices(texts) for ids in self._batch(some)]
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.get
         parts = [self._chunks(text or "") for text in texts]
         found = [list(map(get, chunks)) for chunks in parts]

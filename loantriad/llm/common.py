@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Words kept in a worker's memory between batches; the cache starts anew when it is full.
 CACHE_WORDS = 400_000
+#: Characters of texts that are cut into words at once.
+BATCH_CHARS = 400_000
 
 _U = np.uint64
 
@@ -29,6 +31,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def slices(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, some BATCH_CHARS characters at a time; a longer text is one by itself."""
+    some, size = [], 0
+    for text in texts:
+        n = len(text or "")
+        if some and size + n > BATCH_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += n
+    if some:
+        yield some
+
+
 class WordHashes(dict):
     """64-bit hash per word, remembered; the same in every process."""
 

@@ -9,7 +9,7 @@ from cases import awkward, empty, rows
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from loantriad.llm import bpe, packing, token_counts, token_files
+from loantriad.llm import bpe, common, packing, token_counts, token_files
 from loantriad.llm.common import table, vocabulary_path
 from loantriad.session import scratch_path
 
@@ -51,6 +51,21 @@ def test_any_text(library, vocabulary, text):
     assert np.frombuffer(encoder.batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kind", [bpe.ChunkEncoder, bpe.ChunkCounter])
+def test_a_batch_holds_the_chunks_of_few_texts(monkeypatch, kind):
+    monkeypatch.setattr(common, "BATCH_CHARS", 50)
+    asked = []
+
+    def encode(chunks):
+        asked.append(sum(map(len, chunks)))
+        return [len(c) if kind is bpe.ChunkCounter else c.encode() for c in chunks]
+
+    lines = [None, "", *(f"a{i} b{i} c{i}" for i in range(200)), "long " * 40, "end"]
+    got = kind({}, encode).batch(lines)
+    assert got == [(len if kind is bpe.ChunkCounter else str.encode)(t or "") for t in lines]
+    assert len(asked) > 30 and max(asked) <= 200
+
+
 def test_small_cache_starts_anew(monkeypatch, library, vocabulary):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     encoder = bpe.ChunkEncoder(vocabulary.special, bpe.trie_chunks(vocabulary))
