@@ -3,14 +3,15 @@
 Both tokenizers give ids whose bytes, joined, are the text behind one space. Byte offsets where tokens of both end cut a text
 into groups; between two neighbouring ends of either side lies exactly one overlapping pair of tokens, a link.
 
-1. Every task aligns its documents and keeps, for each distinct id pair, the number of its documents that hold it linked.
+1. Every document is encoded once; its ids are stored, two bytes each. Every task aligns its documents and keeps, for each distinct id
+   pair, the number of its documents that hold it linked.
    Lists of pairs are dealt into ``perfect_hash.BUCKETS`` buckets by hash.
 2. The lists of a bucket are united in two steps (heaps of ``FAN`` tasks' lists, then one) and a minimal perfect hash is built of its pairs.
 3. Counts become dense vectors indexed by the hash and are summed the same way, as a tree.
-4. A second pass aligns the documents again and looks the counts up; the key beside each count is compared.
+4. A second pass aligns the stored ids again and looks the counts up; the key beside each count is compared.
 
 Buckets are looked up ``SEGMENT_KEYS`` keys at a time: that bounds what is broadcast, some 13 bytes a key. More keys mean
-more passes over the documents, whose parts are added up; nothing is left out.
+more passes over the ids, whose parts are added up; nothing is left out.
 
 Defined results: a text that is null or empty, or whose ids of either side don't give its bytes back, has no tokens: all numbers
 0, groups ''. Every row counts as a document, repeated rows and rows without doc_id too. An empty table gives an empty
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,16 +32,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantriad.llm import perfect_hash as ph
 from loantriad.llm.bpe import file_text
-from loantriad.llm.common import CACHE_WORDS, beside, table, vocabulary_path
+from loantriad.llm.common import CACHE_WORDS, beside, slices, table, vocabulary_path
 from loantriad.llm.registry import corpus_query
 from loantriad.llm.whole_ids import WholeTexts
-from loantriad.session import materialise, settle
+from loantriad.session import materialise
 
 FAN = 64
 SEGMENT_KEYS = 4_000_000
-BATCH_CHARS = 400_000
+BATCH_IDS = 100_000
 TASK_KEYS = 2_000_000
-SHIFT = 16  # bits of an id of the second tokenizer
+SHIFT = 16  # bits of an id
 
 
 class TwoTokenizers:
@@ -106,15 +107,15 @@ class TwoTokenizers:
 
 def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and where each text's begin."""
-    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
-    return np.frombuffer(b"".join(ids), "<u4").astype(np.int64), bounds
+    bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in ids])]).astype(np.int64)
+    return np.frombuffer(b"".join(ids), "<u2").astype(np.int64), bounds
 
 
 class Alignment:
-    """Links and groups of a batch of texts. Texts stand one after the other: their ends are ends of both sides."""
+    """Links and groups of a batch of texts, from their ids of either side (unsigned 16-bit bytes).
+    Texts stand one after the other: their ends are ends of both sides."""
 
-    def __init__(self, tokenizers: TwoTokenizers, texts: list[str | None]):
-        lists_a, lists_b = tokenizers.tokens(texts)
+    def __init__(self, tokenizers: TwoTokenizers, lists_a: list[bytes], lists_b: list[bytes]):
         self.a, self.from_a = _flat(lists_a)
         self.b, self.from_b = _flat(lists_b)
         self.ends_a, self.ends_b = np.cumsum(tokenizers.size_a[self.a]), np.cumsum(tokenizers.size_b[self.b])
@@ -151,17 +152,17 @@ class Alignment:
         return [b"".join(parts[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
 
 
-def batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Slices of about BATCH_CHARS characters; a longer text is one by itself."""
+def batches(ids: Sequence[bytes]) -> Iterator[tuple[int, int]]:
+    """Slices of about BATCH_IDS ids; a text with more is one by itself."""
     first, size = 0, 0
-    for at, text in enumerate(texts):
-        n = len(text or "")
-        if at > first and size + n > BATCH_CHARS:
+    for at, text in enumerate(ids):
+        n = len(text) // 2
+        if at > first and size + n > BATCH_IDS:
             yield first, at
             first, size = at, 0
         size += n
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(ids):
+        yield first, len(ids)
 
 
 _WORKER: dict[int, TwoTokenizers] = {}
@@ -200,7 +201,28 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, counts
 
 
-def pair_lists(docs: DataFrame, shared) -> DataFrame:
+def encoded_texts(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, a, b of every row: its ids of either side as unsigned 16-bit bytes."""
+
+    def start():
+        tokenizers = _tokenizers(shared)
+        if max(len(tokenizers.bytes_a), len(tokenizers.bytes_b)) > 1 << SHIFT:
+            raise ValueError(f"vocabularies of at most {1 << SHIFT} ids")
+        short = lambda ids: [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
+
+        def work(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            first = 0
+            for texts in slices(frame["text"]):
+                a, b = tokenizers.tokens(texts)
+                yield pd.DataFrame({"at": np.arange(first, first + len(texts)), "a": short(a), "b": short(b)})
+                first += len(texts)
+
+        return work
+
+    return beside(docs, ["doc_id"], ["text"], start, "a binary, b binary")
+
+
+def pair_lists(ids: DataFrame, shared) -> DataFrame:
     """bucket, part, keys, counts: the distinct pairs of each task, by bucket."""
 
     def lists(counts: PairCounts, part: int) -> pd.DataFrame:
@@ -215,9 +237,9 @@ def pair_lists(docs: DataFrame, shared) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers, counts, part, held = _tokenizers(shared), PairCounts(), TaskContext.get().partitionId(), 0
         for frame in frames:
-            texts = frame["text"].tolist()
-            for x, y in batches(texts):
-                found = Alignment(tokenizers, texts[x:y])
+            a, b = frame["a"].tolist(), frame["b"].tolist()
+            for x, y in batches(a):
+                found = Alignment(tokenizers, a[x:y], b[x:y])
                 once = np.unique(found.text_of_link() << 32 | found.keys) & 0xFFFFFFFF  # each pair once a document
                 if len(once):
                     counts.add(*np.unique(once, return_counts=True))
@@ -227,7 +249,7 @@ def pair_lists(docs: DataFrame, shared) -> DataFrame:
         if counts.parts:
             yield lists(counts, part)
 
-    return docs.select("text").mapInPandas(run, "bucket int, part int, keys binary, counts binary")
+    return ids.select("a", "b").mapInPandas(run, "bucket int, part int, keys binary, counts binary")
 
 
 def _united(frame: pd.DataFrame) -> np.ndarray:
@@ -313,7 +335,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _looked_up(docs: DataFrame, shared, looked, keep: list[str], digest: bool) -> DataFrame:
+def _looked_up(ids: DataFrame, shared, looked, keep: list[str], digest: bool) -> DataFrame:
     """``keep`` and ALIGNED with the counts of one segment. ``digest``: the hash of the groups in their place."""
 
     def start():
@@ -321,9 +343,9 @@ def _looked_up(docs: DataFrame, shared, looked, keep: list[str], digest: bool) -
         hashed, counts, best = looked.value
 
         def work(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            texts = frame["text"].tolist()
-            for x, y in batches(texts):
-                found = Alignment(tokenizers, texts[x:y])
+            a, b = frame["a"].tolist(), frame["b"].tolist()
+            for x, y in batches(a):
+                found = Alignment(tokenizers, a[x:y], b[x:y])
                 keys, inverse = np.unique(found.keys, return_inverse=True)
                 at = hashed.index(keys)
                 n = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
@@ -340,7 +362,7 @@ def _looked_up(docs: DataFrame, shared, looked, keep: list[str], digest: bool) -
 
         return work
 
-    return beside(docs, keep, ["text"], start, ALIGNED)
+    return beside(ids, keep, ["a", "b"], start, ALIGNED)
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, digest: bool = False, segment_keys: int = SEGMENT_KEYS) -> DataFrame:
@@ -349,8 +371,8 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, digest: bool = False
     with open(piece_path, "rb") as f:
         shared = context.broadcast((file_text(byte_path), f.read()))  # two vocabulary files
     n_a = max(_tokenizers(shared).a.entries.values()) + 1
-    docs = settle(docs.select("doc_id", "text"), "texts")
-    lists = materialise(pair_lists(docs, shared), "pair-lists")
+    ids = materialise(encoded_texts(docs, shared), "two-ids")
+    lists = materialise(pair_lists(ids, shared), "pair-lists")
     rows = materialise(hash_rows(lists), "pair-hashes")
     sizes = {r.bucket: r.n for r in rows.select("bucket", "n").collect()}
     cuts = segments(sizes, segment_keys)
@@ -361,7 +383,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, digest: bool = False
         vectors = part if vectors is None else vectors.unionByName(part)
     if vectors is None:  # nothing is linked
         looked = context.broadcast((ph.PerfectHash([]), np.empty(0, np.int64), np.zeros(n_a, np.int64)))
-        return _looked_up(docs, shared, looked, ["doc_id"], digest)
+        return _looked_up(ids, shared, looked, ["doc_id"], digest)
     best = best_counts(rows, vectors, n_a)
 
     def counted(i: int, cut: list[int]):
@@ -370,8 +392,8 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, digest: bool = False
         return context.broadcast((hashed, np.concatenate([np.frombuffer(bytes(found[b]), "<i8") for b in sorted(cut)]), best))
 
     if len(cuts) == 1:
-        return _looked_up(docs, shared, counted(0, cuts[0]), ["doc_id"], digest)
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+        return _looked_up(ids, shared, counted(0, cuts[0]), ["doc_id"], digest)
+    numbered = ids.withColumn("row", F.monotonically_increasing_id())
     parts = None
     for i, cut in enumerate(cuts):
         part = materialise(_looked_up(numbered, shared, counted(i, cut), ["row", "doc_id"], digest), "aligned")

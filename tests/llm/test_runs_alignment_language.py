@@ -174,6 +174,21 @@ def test_alignment_equals_brute_force(spark, folder):
     assert Counter(map(tuple, alignment.align(docs, BYTES, PIECES, segment_keys=700).collect())) == expected
 
 
+def test_alignment_encodes_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(i, f"ab cd {i}") for i in range(50)], schema).mapInPandas(told, schema)
+    out = alignment.align(docs, BYTES, PIECES)
+    assert len(out.collect()) == 50 and read.value == 50
+    assert "text" not in alignment.align(docs.select("doc_id", "text"), BYTES, PIECES)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_alignment_digest_and_lists(spark):
     docs = spark.createDataFrame([(1, "ab cd"), (2, None), (3, "")], "doc_id long, text string")
     plain = {r.doc_id: r for r in alignment.align(docs, BYTES, PIECES).collect()}
