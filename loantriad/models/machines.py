@@ -6,6 +6,8 @@ from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -77,7 +79,7 @@ class PairwiseModel(Model):
 class FourierFeatures:
     """Random Fourier features of the kernel exp(-gamma |x - y|^2): their inner product tends to the kernel as ``size`` grows.
 
-    The directions depend on the seed only, so tasks and retries agree; the feature is a native expression.
+    The directions depend on the seed only, so tasks and retries agree.
     """
 
     def __init__(self, inputs: int, size: int = 200, gamma: float = 1.0, seed: int = 42):
@@ -86,12 +88,22 @@ class FourierFeatures:
         self.shifts = rng.uniform(0.0, 2 * np.pi, size)
 
     def array(self, x: Column) -> Column:
-        """Array of features of an array of numbers."""
-        lines = F.array(*[F.struct(F.array(*[F.lit(float(w)) for w in row]).alias("w"), F.lit(float(b)).alias("b"))
-                          for row, b in zip(self.weights, self.shifts)])
-        scale = float(np.sqrt(2 / len(self.shifts)))
-        return F.transform(lines, lambda d: scale * F.cos(
-            F.aggregate(F.zip_with(x, d["w"], lambda a, w: a * w), d["b"], lambda total, part: total + part)))
+        """Array of features of an array of numbers, a batch of rows at a time; missing if the array is."""
+        weights, shifts, scale = self.weights, self.shifts, float(np.sqrt(2 / len(self.shifts)))
+
+        @F.arrow_udf("array<double>")
+        def features(rows: pa.Array) -> pa.Array:
+            there = rows.is_valid()
+            flat = rows.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, weights.shape[1])
+            out = np.tile(shifts, (len(flat), 1))
+            for part, weight in zip(flat.T, weights.T):  # one input after the other, so that a row's sum does not depend on its batch
+                out += part[:, None] * weight
+            np.cos(out, out=out)
+            out *= scale
+            ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))]) * len(shifts)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.reshape(-1)), mask=pc.invert(there))
+
+        return features(x)
 
     def vector(self, features: str) -> Column:
         """Vector of features of a vector column."""
@@ -117,7 +129,8 @@ class RadialMachine(Estimator):
         inputs = len(scaler.mean)
         fourier = FourierFeatures(inputs, self.size, self.gamma or 1 / inputs, self.seed)
         spec = RadialModel(scaler, fourier, None)
-        return RadialModel(scaler, fourier, self.learner().fit(settle(spec.mapped(df))))
+        # inputs are stored if they are costly, their many features never: a pass makes them anew
+        return RadialModel(scaler, fourier, self.learner().fit(spec.mapped(settle(df.select("y", "features"))).select("y", "features")))
 
 
 class RadialModel(Model):

@@ -134,6 +134,18 @@ def test_kernel_error(spark):
     assert np.allclose(got, fourier.numpy(x[:5]))
 
 
+def test_fourier_features_are_made_a_batch_at_a_time(spark):
+    fourier = ma.FourierFeatures(2, 5, 0.5)
+    rows = [(0, [0.5, -1.0]), (1, None), (2, [2.0, 0.0]), (3, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id int, x array<double>").coalesce(1).withColumn("z", fourier.array(F.col("x")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan  # lambdas are interpreted, row by row
+    got = {r.id: r.z for r in df.collect()}
+    assert got[1] is None and np.isnan(got[3]).all()
+    assert np.allclose([got[0], got[2]], fourier.numpy(np.array([rows[0][1], rows[2][1]])))
+    assert df.where("x is null").select("z").collect()[0].z is None and df.where("id > 9").collect() == []
+
+
 def test_one_hot_vector_is_the_dense_form(spark):
     rows = [(i, random.Random(i).choice(["b", "a", None, "c"]), "only", str(i % 7), float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, s string, o string, t string, x double")
