@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -69,7 +70,7 @@ class Vocabulary:
         self._trie()
 
     def _trie(self) -> None:
-        """Trie of reversed tokens: walking back from a node finds every token that ends there."""
+        """Trie of reversed tokens: walking back from a node finds every token that ends there and that merges can make."""
         self.back: list[dict[int, int]] = [{}]
         self.back_id: list[int] = [-1]
         for token, i in self.ids.items():
@@ -81,7 +82,8 @@ class Vocabulary:
                     self.back.append({})
                     self.back_id.append(-1)
                 at = nxt
-            self.back_id[at] = i
+            if len(token) == 1 or i in self.split_of:
+                self.back_id[at] = i
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` by rank keeps the border between them."""
@@ -123,6 +125,7 @@ class Vocabulary:
         last: list[int] = []  # last token of each prefix of the current path, from length 1
         before = b""
         back, back_id, bytes_of = self.back, self.back_id, self.bytes_of
+        known, fits = self._fits.get, self.fits
         for word in sorted(set(words)):
             shared = 0
             for x, y in zip(before, word):
@@ -132,16 +135,21 @@ class Vocabulary:
             del last[shared:]
             for end in range(shared + 1, len(word) + 1):
                 at, choice, k = 0, -1, end
-                while k > 0:
-                    at = back[at].get(word[k - 1], 0)
-                    if not at:
-                        break
+                while k:
                     k -= 1
+                    at = back[at].get(word[k])
+                    if at is None:
+                        break
                     token = back_id[at]
                     # several entries may end here, but only one may follow: the encoding is unique
-                    if token >= 0 and (k == 0 or self.fits(last[k - 1], token)) and (end - k == 1 or token in self.split_of):
-                        choice = token
-                        break
+                    if token >= 0:
+                        if not k:
+                            choice = token
+                            break
+                        fit = known((last[k - 1], token))
+                        if fit or fit is None and fits(last[k - 1], token):
+                            choice = token
+                            break
                 last.append(choice)
             ids, end = [], len(word)
             while end:
@@ -223,21 +231,22 @@ def trie_chunks(vocabulary: Vocabulary) -> Callable[[list[str]], list[bytes]]:
     packed: dict[str, bytes] = {}
 
     def encode(chunks: list[str]) -> list[bytes]:
-        pieces = [_PRE.findall(c) for c in chunks]
+        # ASCII letters, with or without a space before them, are one piece
+        pieces = [[c] if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else _PRE.findall(c) for c in chunks]
         new = {p for ps in pieces for p in ps if p not in packed}
         if len(packed) + len(new) > CACHE_WORDS:
             packed.clear()
             new = {p for ps in pieces for p in ps}
         words = {p: p.encode("utf-8", "replace") for p in new}
         ids = vocabulary.encode_words(words.values())
-        packed.update({p: b"".join([x.to_bytes(4, "little") for x in ids[w]]) for p, w in words.items()})
+        packed.update({p: struct.pack(f"<{len(ids[w])}I", *ids[w]) for p, w in words.items()})
         return [b"".join([packed[p] for p in ps]) for ps in pieces]
 
     return encode
 
 
 def decode(ids: np.ndarray, bytes_of: list[bytes]) -> str:
-    return b"".join([bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    return b"".join(map(bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def byte_table(vocabulary: Vocabulary) -> list[bytes]:

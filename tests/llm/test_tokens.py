@@ -73,6 +73,17 @@ def test_small_cache_starts_anew(monkeypatch, library, vocabulary):
         assert np.frombuffer(encoder.batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_need_no_pattern(monkeypatch, library, vocabulary):
+    class Pattern:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(bpe, "_PRE", Pattern())
+    text = "Plain words need no pattern"
+    packed, = bpe.ChunkEncoder(vocabulary.special, bpe.trie_chunks(vocabulary)).batch([text])
+    assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_codec_on_awkward_rows(spark, library):
     out = {(r.doc_id, r.n_tokens): r for r in bpe.encode(awkward(spark), PATH).collect()}
     for i, text, *_ in rows():
