@@ -201,27 +201,27 @@ def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find_repeats(rows: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT) -> DataFrame:
     """ROW and the spans of words [a, b) under repeated windows (merged, ascending) of every text that has some.
 
-    ``rows``: ROW and text, as ``numbered`` gives them.
+    ``rows``: ROW and text, as ``numbered`` gives them. Joins are sort-merge joins at every size, so disk grows with the input.
     """
     rows = rows.select(ROW, "text")
     kmers = materialise(rows.mapInPandas(
-        _minimisers(width, run), f"{ROW} long, starts array<int>, sizes array<int>, minis array<long>, again array<boolean>"), "super-kmers")
+        _minimisers(width, run), f"{ROW} long, starts array<int>, sizes array<int>, minis array<long>, again array<boolean>"), "super-kmers", free=True)
     each = kmers.select(ROW, F.explode(F.arrays_zip("starts", "sizes", "minis", "again")).alias("z")).select(
         ROW, F.col("z.starts").alias("start"), F.col("z.sizes").alias("size"), F.col("z.minis").alias("mini"),
         F.col("z.again").alias("again"))
     counts = each.groupBy("mini").agg(F.count("*").alias("n"), F.sum("size").alias("windows"), F.max("again").alias("again"))
     split = (F.col("n") > hot) | (F.col("windows") > LONG * hot)
-    again = materialise(counts.where("n > 1 or again").select("mini", split.alias("split")), "repeated-minimisers")
-    found = each.join(again, "mini").groupBy(ROW).agg(F.collect_list(F.struct("start", "size", "mini", "split")).alias("found"))
-    packed = materialise(rows.join(found, ROW).mapInPandas(
-        _pack(width), f"{ROW} long, start int, mini long, sub binary, name binary, packed binary"), "packed")
+    again = materialise(counts.where("n > 1 or again").select("mini", split.alias("split")), "repeated-minimisers", free=True)
+    found = each.join(again.hint("merge"), "mini").groupBy(ROW).agg(F.collect_list(F.struct("start", "size", "mini", "split")).alias("found"))
+    packed = materialise(rows.join(found.hint("merge"), ROW).mapInPandas(
+        _pack(width), f"{ROW} long, start int, mini long, sub binary, name binary, packed binary"), "packed", free=True)
     drop(kmers, again)
     strings = packed.groupBy("mini", "sub", "packed").agg(F.count("*").alias("n"))
     buckets = strings.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
-    repeats = materialise(buckets.mapInPandas(_count_buckets(width), f"name binary, spans {SPANS}"), "repeats")
-    spans = packed.select(ROW, "start", "name").join(repeats, "name").select(ROW, "start", F.explode("spans").alias("s"))
+    repeats = materialise(buckets.mapInPandas(_count_buckets(width), f"name binary, spans {SPANS}"), "repeats", free=True)
+    spans = packed.select(ROW, "start", "name").join(repeats.hint("merge"), "name").select(ROW, "start", F.explode("spans").alias("s"))
     spans = spans.groupBy(ROW, (F.col("start") + F.col("s.a")).alias("a")).agg(F.max(F.col("start") + F.col("s.b")).alias("b"))
-    merged = materialise(spans.repartition(ROW).sortWithinPartitions(ROW, "a").mapInPandas(_merged, f"{ROW} long, spans {SPANS}"), "spans")
+    merged = materialise(spans.repartition(ROW).sortWithinPartitions(ROW, "a").mapInPandas(_merged, f"{ROW} long, spans {SPANS}"), "spans", free=True)
     drop(packed, repeats)
     return merged
 
@@ -242,7 +242,7 @@ def with_spans(docs: DataFrame, **how) -> DataFrame:
     """``row`` (all columns of ``docs``), and ``spans`` (null if nothing repeats)."""
     rows = numbered(docs.select(F.struct("*").alias("row")))
     found = find_repeats(rows.select(ROW, F.col("row.text").alias("text")), **how)
-    return rows.join(found, ROW, "left").select("row", "spans")
+    return rows.join(found.hint("merge"), ROW, "left").select("row", "spans")
 
 
 def remove_passages(docs: DataFrame, **how) -> DataFrame:

@@ -192,6 +192,21 @@ def test_passages_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_passages(texts, 6)
 
 
+def test_passages_join_alike_at_every_size_and_free_their_shuffles(spark, monkeypatch):
+    plans, freed, real = [], [], passages.materialise
+
+    def noted(df, name, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        freed.append(how.get("free"))
+        return real(df, name, **how)
+
+    monkeypatch.setattr(passages, "materialise", noted)
+    out = passages.digests(awkward(spark))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 6 and all(freed)
+    assert not any("BroadcastHashJoin" in p for p in plans) and sum(p.count("SortMergeJoin") for p in plans) >= 4
+
+
 def test_passages_awkward(spark):
     got = sorted(((r.doc_id if r.doc_id is not None else -1), *r[1:]) for r in passages.digests(awkward(spark)).collect())
     expected = brute_passages([t for _, t, *_ in rows()], 35)

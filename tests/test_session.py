@@ -58,3 +58,13 @@ def test_small_side_counts_bytes(spark):
     long_texts = spark.range(20).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert se.small_side(long_texts, max_bytes=5_000) is long_texts
     assert "ResolvedHint" in se.small_side(long_texts)._jdf.queryExecution().analyzed().toString()
+
+
+def test_freed_shuffles_hold_for_the_block_only(spark):
+    before = spark.conf.get(se.CLEANUP_KEY)
+    with se.freed_shuffles(spark):
+        assert spark.conf.get(se.CLEANUP_KEY) == "true"
+    assert spark.conf.get(se.CLEANUP_KEY) == before
+    counts = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    assert se.materialise(counts, "freed", free=True).count() == 7 and spark.conf.get(se.CLEANUP_KEY) == before
+    assert counts.count() == 7
