@@ -47,26 +47,46 @@ def _limits(pn, np_, u, v):
     return np.where(top == 0, 1.0, keep / top), np.where(bottom == 0, 0.0, defer / bottom)
 
 
-def _price(p, pn, np_, y, u, v):
+@dataclass(frozen=True)
+class _Shared:
+    """What is the same for every box over some rows: worked out once, not once a box."""
+
+    bad: np.ndarray
+    odd: np.ndarray
+    at_pos: np.ndarray
+    at_neg: np.ndarray
+    least_pos: np.ndarray
+    least_neg: np.ndarray
+
+    @classmethod
+    def of(cls, pn, np_, y) -> "_Shared":
+        bad = y == 1
+        odd = (pn < 0) | (np_ < 0)
+        # where one loss is zero, a threshold's guard jumps within the box; where both are, the thresholds stay 1 and 0
+        odd |= (pn == 0) ^ (np_ == 0)
+        at_pos, at_neg = np.where(y == 0, pn, 0.0), np.where(bad, np_, 0.0)
+        return cls(bad, odd, at_pos, at_neg, np.nan_to_num(at_pos), np.nan_to_num(at_neg))
+
+
+def _price(p, pn, np_, y, u, v, shared: _Shared | None = None):
     """Realised cost and boundary size of one choice, as ``search.objectives`` counts them."""
+    x = shared or _Shared.of(pn, np_, y)
     alpha, beta = _limits(pn, np_, u, v)
     pos = p >= alpha
     neg = ~pos & (p <= beta)
     bnd = ~pos & ~neg
-    bad = y == 1
-    cost = np.where(pos, np.where(y == 0, pn, 0.0), np.where(neg, np.where(bad, np_, 0.0), np.where(bad, u * np_, v * pn)))
+    cost = np.where(pos, x.at_pos, np.where(neg, x.at_neg, np.where(x.bad, u * np_, v * pn)))
     return np.nansum(cost), bnd.sum()
 
 
-def _bound(p, pn, np_, y, box: Box):
+def _bound(p, pn, np_, y, box: Box, shared: _Shared | None = None):
     """Least possible cost and boundary size within the box. Losses below zero break the order of the corners, so such
     a loan may fall into any region at any scale of the box; missing ones stay in the boundary."""
     u0, u1, v0, v1 = box
+    x = shared or _Shared.of(pn, np_, y)
+    odd = x.odd
     alpha_high, beta_low = _limits(pn, np_, u0, v0)
     alpha_low, beta_high = _limits(pn, np_, u1, v1)
-    odd = (pn < 0) | (np_ < 0)
-    # where one loss is zero, a threshold's guard jumps within the box; where both are, the thresholds stay 1 and 0
-    odd |= (pn == 0) ^ (np_ == 0)
     # rounding may turn the order of two nearly equal thresholds
     slack = 1e-12
     may_pos = (p >= alpha_low - slack) | odd
@@ -74,12 +94,9 @@ def _bound(p, pn, np_, y, box: Box):
     may_neg = ((p <= beta_high + slack) & ~must_pos) | odd
     must_low = (p <= beta_low - slack) & ~odd
     may_bnd = ~must_pos & ~must_low
-    bad = y == 1
-    at_pos = np.where(y == 0, pn, 0.0)
-    at_neg = np.where(bad, np_, 0.0)
-    at_bnd = np.where(bad, np.minimum(u0 * np_, u1 * np_), np.minimum(v0 * pn, v1 * pn))
+    at_bnd = np.where(x.bad, np.minimum(u0 * np_, u1 * np_), np.minimum(v0 * pn, v1 * pn))
     far = np.inf
-    least = np.minimum(np.where(may_pos, np.nan_to_num(at_pos), far), np.where(may_neg, np.nan_to_num(at_neg), far))
+    least = np.minimum(np.where(may_pos, x.least_pos, far), np.where(may_neg, x.least_neg, far))
     least = np.minimum(least, np.where(may_bnd, np.nan_to_num(at_bnd), far))
     sure = ~may_pos & ~may_neg
     return least.sum(), sure.sum()
@@ -101,8 +118,9 @@ def _pass(boxes: list[Box], eps: float):
             p, pn, np_, y = (batch.column(i).to_numpy(zero_copy_only=False).astype("float64") for i in range(4))
             rows += len(p)
             with np.errstate(divide="ignore", invalid="ignore"):
+                shared = _Shared.of(pn, np_, y)
                 for k, box in enumerate(boxes):
-                    sums[k] += (*_bound(p, pn, np_, y, box), *_price(p, pn, np_, y, *_point(box, eps)))
+                    sums[k] += (*_bound(p, pn, np_, y, box, shared), *_price(p, pn, np_, y, *_point(box, eps), shared))
         if rows:
             columns = [pa.array(np.arange(len(boxes)), pa.int32()), *[pa.array(sums[:, j]) for j in range(4)]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(boxes), rows), pa.int64())],

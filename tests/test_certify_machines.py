@@ -5,6 +5,7 @@ import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
@@ -61,6 +62,17 @@ def test_bounds_hold_at_every_choice_of_a_box():
                     assert low <= cost + 1e-9 and sure <= bnd
 
 
+def test_what_boxes_share_is_worked_out_once_a_batch(monkeypatch):
+    rng, made, real = np.random.default_rng(3), [], ce._Shared.of
+    loans = pa.table([rng.random(100), rng.random(100), 2 * rng.random(100), (rng.random(100) < 0.3) * 1.0], names=["p", "pn", "np", "y"])
+    boxes = [(i / 4, (i + 1) / 4, 0.0, 0.25) for i in range(3)]
+    each = [next(ce._pass([box], 1e-9)(iter(loans.to_batches(50)))) for box in boxes]
+    monkeypatch.setattr(ce._Shared, "of", lambda *a: made.append(1) or real(*a))
+    found = next(ce._pass(boxes, 1e-9)(iter(loans.to_batches(50))))
+    assert len(made) == 2
+    assert [list(r.values())[1:] for r in found.to_pylist()] == [list(e.to_pylist()[0].values())[1:] for e in each]
+
+
 def test_no_loans(spark):
     empty = spark.createDataFrame([], "p_default double, lam_pn double, lam_np double, y int")
     assert ce.certified_search(empty).cost == 0.0
