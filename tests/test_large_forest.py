@@ -57,3 +57,5 @@ def test_queries_keep_no_number_a_row_and_tree(spark, table, monkeypatch):
     monkeypatch.setattr(cf, "model_table", lambda *_: table)
     row = modelling.ml2(spark, "none").collect()
     assert len(row) == 1 and row[0].tp + row[0].tn + row[0].fp + row[0].fn == 600 and row[0].auc > 0.7
+    found = {r.feature: r for r in modelling.ml16(spark, "none").collect()}
+    assert set(found) == set(cf.FEATURES)
